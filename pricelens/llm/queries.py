@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pricelens.llm.canonical_names import map_to_list
 from pricelens.llm.encoding_repair import find_damaged
 from pricelens.llm.top_items import top_n
 from pricelens.session import table
@@ -18,12 +19,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.unionByName(find_damaged(table(spark, sf_dir, annex), annex, "anexo_fila_id", ["alimento"]))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed names of the coverage sheets and carts with the basket item that they mean."""
+    items = table(spark, sf_dir, "cba_items")
+    typed = {"cba_cobertura": ("cobertura_id", "cba_name"), "carrito_resumen_ejecutivo": ("carrito_fila_id", "producto_buscado")}
+    parts = [map_to_list(table(spark, sf_dir, t), t, key, value, items, "cba_item_id", "cba_name", "alias") for t, (key, value) in typed.items()]
+    return parts[0].unionByName(parts[1])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best listings of each basket item and seller."""
     return top_n(table(spark, sf_dir, LISTINGS), ["cba_name", "supermarket"], "premium_score", [("price_num", False)], "listing_id", n=3)
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
 
 ORACLES = {
     "p5_found": """
