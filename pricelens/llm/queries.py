@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pricelens.llm.canonical_names import map_to_list
 from pricelens.llm.encoding_repair import find_damaged
+from pricelens.llm.sentences import split_sentences
 from pricelens.llm.top_items import top_n
 from pricelens.session import table
 
@@ -32,7 +33,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(table(spark, sf_dir, LISTINGS), ["cba_name", "supermarket"], "premium_score", [("price_num", False)], "listing_id", n=3)
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of all documents."""
+    return split_sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p10_found": p10_found}
 
 ORACLES = {
     "p5_found": """
