@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pricelens.llm.canonical_names import map_to_list
 from pricelens.llm.encoding_repair import find_damaged
+from pricelens.llm.same_product import product_pairs
 from pricelens.llm.sentences import split_sentences
 from pricelens.llm.top_items import top_n
 from pricelens.session import table
@@ -13,6 +14,11 @@ from pricelens.session import table
 LISTINGS = "cba_premium_mejor_por_supermercado"
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of listings of the same product."""
+    return product_pairs(table(spark, sf_dir, LISTINGS))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wrongly decoded names and subcategories of the listings and names of the annex."""
     listings = find_damaged(table(spark, sf_dir, LISTINGS), LISTINGS, "listing_id", ["name", "subcategory"])
@@ -38,7 +44,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p10_found": p10_found}
 
 ORACLES = {
     "p5_found": """
