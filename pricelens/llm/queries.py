@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pricelens.llm.canonical_names import map_to_list
 from pricelens.llm.encoding_repair import find_damaged
+from pricelens.llm.mixing import mix_sources, share_report
+from pricelens.llm.packing import fill_report, pack_documents
 from pricelens.llm.same_product import product_pairs
 from pricelens.llm.sentences import split_sentences
 from pricelens.llm.top_items import top_n
@@ -39,12 +41,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(table(spark, sf_dir, LISTINGS), ["cba_name", "supermarket"], "premium_score", [("price_num", False)], "listing_id", n=3)
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container and position of every document for every kind of container."""
+    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "contenedores"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return fill_report(p8_containers(spark, sf_dir), table(spark, sf_dir, "contenedores"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture with their repetitions and the shares reached."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mezcla_objetivos"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return share_report(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mezcla_objetivos"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of all documents."""
     return split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 
 ORACLES = {
     "p5_found": """
