@@ -55,26 +55,68 @@ STICKY = {"sin": "sin_", "con": "con_", "en": "en_", "zero": "sin_", "0": "sin_"
 _WORD = re.compile(r"[a-z]+|\d+(?:[.,]\d+)*(?:pct)?")
 _UNITS = {p + r + s for r in ROOTS for p in PREFIXES for s in ("", "s", "es")} | {"k", "kilo", "kilos", "fl", "liq"}
 _AMOUNT = set("pack medio media cuarto cuartos un dos tres cuatro cinco seis docena docenas".split())
+_LOST = re.compile("(?<=[a-z])[?\ufffd](?=[a-z])|(?<=[a-z])[?\ufffd]\\B")
+_WITHOUT, _WITH = re.compile(r"\bs/\s?"), re.compile(r"\bc/\s?")
+_PERCENT, _NUMBER, _FIRST = re.compile(r"(\d)\s?%"), re.compile(r"\bn[°º.]?\s?(?=\d)|n°\s?"), re.compile(r"(\d)\s?[ªa]\b")
+_INITIALS, _TIMES, _AND_A_HALF = re.compile(r"\b([a-z])\.\s?([a-z])\."), re.compile(r"(\d)x(\d)"), re.compile(r"\b(?:un )?(?:kilo|litro) y medio\b")
 _GLUED = re.compile(r"(\d)([a-z]+)\b")
 
 
+_PLAIN = {c: unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xC0, 0x180) if unicodedata.decomposition(chr(c))}
+
+
 def fold(text: str) -> str:
-    text = unicodedata.normalize("NFKD", text).casefold()
+    """Small letters without accents."""
+    text = text.casefold()
+    if text.isascii():
+        return text
+    text = text.translate(_PLAIN)
+    if text.isascii():
+        return text
+    text = unicodedata.normalize("NFKD", text)
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
+_ODD = re.compile(r"[^\x00-\x7fáéíóúüñÁÉÍÓÚÜÑ¡½€×°ª]")
+_repaired: dict[str, str] = {}
+
+
+def repaired(name: str) -> str:
+    """A name with its wrongly decoded words restored, each distinct word once a worker."""
+    if name.isascii() or not _ODD.search(name):
+        return name
+    words = name.split(" ")
+    for i, w in enumerate(words):
+        if not w.isascii() and _ODD.search(w):
+            found = _repaired.get(w)
+            if found is None:
+                if len(_repaired) > 200_000:
+                    _repaired.clear()
+                found = _repaired[w] = restore(w) or w
+            words[i] = found
+    return " ".join(words)
+
+
 def words_of(name: str) -> tuple[list[str], list[str]]:
     """The words of a name that don't tell an amount, and those that do."""
-    if not name.isascii() and re.search(r"[^\x00-\x7fáéíóúüñÁÉÍÓÚÜÑ¡½€×°ª]", name):
-        name = restore(name) or name
-    text = fold(name)
-    text = re.sub(r"(?<=[a-z])[?�](?=[a-z])|(?<=[a-z])[?�]\B", "", text)  # a lost letter
-    text = re.sub(r"\bs/\s?", " sin ", re.sub(r"\bc/\s?", " con ", text.replace("×", " x ")))
-    text = re.sub(r"(\d)\s?%", r"\1pct ", text)
-    text = re.sub(r"\bn[°º.]?\s?(?=\d)|n°\s?", " numero ", text)
-    text = re.sub(r"(\d)\s?[ªa]\b", r"\1 primera ", text)
-    text = re.sub(r"\b([a-z])\.\s?([a-z])\.", r"\1\2 ", text)
-    text = re.sub(r"\b(?:un )?(?:kilo|litro) y medio\b", " ", re.sub(r"(\d)x(\d)", r"\1 x \2", text))
+    text = fold(repaired(name))
+    if "?" in text or "\ufffd" in text:
+        text = _LOST.sub("", text)
+    if "×" in text:
+        text = text.replace("×", " x ")
+    if "/" in text:
+        text = _WITH.sub(" con ", _WITHOUT.sub(" sin ", text))
+    if "%" in text:
+        text = _PERCENT.sub(r"\1pct ", text)
+    if "n" in text:
+        text = _NUMBER.sub(" numero ", text)
+    if "ª" in text or "a" in text:
+        text = _FIRST.sub(r"\1 primera ", text)
+    if "." in text:
+        text = _INITIALS.sub(r"\1\2 ", text)
+    if " y medio" in text:
+        text = _AND_A_HALF.sub(" ", text)
+    text = _TIMES.sub(r"\1 x \2", text)
     tokens = _WORD.findall(_GLUED.sub(lambda m: m[0] if m[2] == "pct" else f"{m[1]} {m[2]}", text))
     words, amount = [], []
     i, n = 0, len(tokens)
@@ -194,28 +236,28 @@ def terms_of(words: Iterable[str], spelling: Vocabulary, brands: Vocabulary, bra
 
 
 def _counts(values: DataFrame, column: str, least: int) -> dict[str, int]:
-    counted = values.select(F.explode(column).alias("w")).groupBy("w").count().where(F.col("count") >= least)
+    counted = values.select(F.explode(F.split(column, " ")).alias("w")).where("w <> ''").groupBy("w").count().where(F.col("count") >= least)
     return {r["w"]: r["count"] for r in counted.orderBy(F.desc("count"), "w").limit(MOST_WORDS).collect()}
 
 
 def _parse(df: DataFrame, stage: Stage) -> DataFrame:
     """Content, brand and terms of each listing; the vocabularies are counted over all of them."""
-    schema = "listing_id bigint, seller string, sku string, item string, words array<string>, brand_words array<string>, content string"
+    schema = "listing_id bigint, article bigint, item string, words string, brand_words string, content string"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for k, name, brand, text, unit, size, family, item, seller, sku in b.itertuples(index=False, name=None):
+            for k, name, brand, text, unit, size, family, item, article in zip(*[b[c] for c in b.columns], strict=True):
                 name = name or ""
                 words, _ = words_of(name)
                 got = whole_content(text, unit, size, family)
-                content = f"{got.dimension}:{got.quantity}" if got else content_in_name(restore(name) or name if not name.isascii() else name, family)
-                rows.append((k, seller, sku, item, words, _brand_words(brand), content))
-            yield pd.DataFrame(rows, columns=["listing_id", "seller", "sku", "item", "words", "brand_words", "content"])
+                content = f"{got.dimension}:{got.quantity}" if got else content_in_name(repaired(name), family)
+                rows.append((k, article, item, " ".join(words), " ".join(_brand_words(brand)), content))
+            yield pd.DataFrame(rows, columns=["listing_id", "article", "item", "words", "brand_words", "content"])
 
     source = df.select(
-        F.col("listing_id").cast("bigint"), "name", "brand", "net_content", "unit", F.col("size_std").cast("double").alias("size_std"), "unit_family", "cba_name", "supermarket",
-        F.when(F.length(F.trim("sku")) > 0, F.trim("sku")).alias("sku"),
+        F.col("listing_id").cast("bigint"), "name", "brand", "net_content", "unit", F.col("size_std").cast("double").alias("size_std"), "unit_family", "cba_name",
+        F.when((F.length(F.trim("sku")) > 0) & F.col("supermarket").isNotNull(), F.xxhash64("supermarket", F.trim("sku"))).alias("article"),
     )
     parsed = stage.cut(source.mapInPandas(read, schema))
     word_counts, brand_counts = _counts(parsed, "words", 2), _counts(parsed, "brand_words", 1)
@@ -229,20 +271,20 @@ def _parse(df: DataFrame, stage: Stage) -> DataFrame:
         for b in batches:
             terms, brand = [], []
             for words, brand_words in zip(b["words"], b["brand_words"], strict=True):
-                t, in_name = terms_of(words, spelling, brands, brand_names)
-                given = [brands.canonical(w) for w in brand_words]
-                terms.append(t)
+                t, in_name = terms_of(words.split(), spelling, brands, brand_names)
+                given = [brands.canonical(w) for w in brand_words.split()]
+                terms.append(" ".join(t))
                 brand.append(next((w for w in given if w in brand_names), None) or in_name or (given[0] if given else None))
-            yield pd.DataFrame({"listing_id": b["listing_id"], "seller": b["seller"], "sku": b["sku"], "item": b["item"], "content": b["content"], "brand": brand, "terms": terms})
+            yield pd.DataFrame({"listing_id": b["listing_id"], "article": b["article"], "item": b["item"], "content": b["content"], "brand": brand, "terms": terms})
 
-    named = stage.cut(parsed.mapInPandas(name_terms, "listing_id bigint, seller string, sku string, item string, content string, brand string, terms array<string>"))
+    named = stage.cut(parsed.mapInPandas(name_terms, "listing_id bigint, article bigint, item string, content string, brand string, terms string"))
     stage.drop(parsed)
     return named
 
 
 def _wordings(named: DataFrame, stage: Stage) -> DataFrame:
     """Each listing's wording (its attribute terms, sorted) and the basket item that the terms speak for."""
-    each = named.select("item", F.explode(F.array_distinct("terms")).alias("term"))
+    each = named.select("item", F.explode(F.array_distinct(F.split("terms", " "))).alias("term")).where("term <> ''")
     cells = each.groupBy("term", F.coalesce("item", F.lit("")).alias("item")).count()
     per_term = cells.groupBy("term").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("item", "count"))).alias("items")).where(F.col("n") >= LEAST_SEEN)
     known = per_term.orderBy(F.desc("n"), "term").limit(MOST_WORDS).collect()
@@ -256,10 +298,10 @@ def _wordings(named: DataFrame, stage: Stage) -> DataFrame:
             even.add(r["term"])
     # words that stand beside an even term as a rule belong to its phrase there
     seen = {r["term"]: r["n"] for r in known}
-    marks = named.sparkSession.sparkContext.broadcast(even)
-    beside = named.select(F.explode(F.transform(F.slice("terms", 1, F.greatest(F.size("terms") - 1, F.lit(0))), lambda t, i: F.struct(t.alias("u"), F.element_at("terms", i + 2).alias("v")))).alias("p")).groupBy("p.u", "p.v").count()
-    listed = named.sparkSession.createDataFrame([(t,) for t in sorted(even)] or [("",)], "t string")
-    near_even = beside.join(F.broadcast(listed), (F.col("u") == F.col("t")) | (F.col("v") == F.col("t"))).where("count >= 20").select("u", "v", "count").distinct()
+    array = F.split("terms", " ")
+    beside = named.select(F.explode(F.transform(F.slice(array, 1, F.greatest(F.size(array) - 1, F.lit(0))), lambda t, i: F.struct(t.alias("u"), F.element_at(array, i + 2).alias("v")))).alias("p")).groupBy("p.u", "p.v").count().where("count >= 20")
+    listed = F.broadcast(named.sparkSession.createDataFrame([(t,) for t in sorted(even)] or [("",)], "t string"))
+    near_even = beside.join(listed, F.col("u") == F.col("t"), "left_semi").union(beside.join(listed, F.col("v") == F.col("t"), "left_semi")).distinct()
     phrases = set()
     for r in near_even.orderBy(F.desc("count"), "u", "v").limit(MOST_WORDS).collect():
         u, v, n = r["u"], r["v"], r["count"]
@@ -271,7 +313,6 @@ def _wordings(named: DataFrame, stage: Stage) -> DataFrame:
             likely[r["term"]] = {i: math.log((k + 0.5 * totals.get(i, 1) / everything) / (r["n"] + 0.5)) for i, k in r["items"].items() if i}
     floors = {r["term"]: r["n"] for r in known}
     shared = named.sparkSession.sparkContext.broadcast((even, phrases, likely, floors, {i: k / everything for i, k in totals.items() if i}))
-    del marks
 
     def word(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         even, phrases, likely, floors, prior = shared.value
@@ -292,7 +333,7 @@ def _wordings(named: DataFrame, stage: Stage) -> DataFrame:
         for b in batches:
             wordings, of = [], []
             for terms in b["terms"]:
-                terms = list(terms)
+                terms = terms.split()
                 kept = []
                 for i, t in enumerate(terms):
                     if t in even or t not in floors:
@@ -308,9 +349,9 @@ def _wordings(named: DataFrame, stage: Stage) -> DataFrame:
                     kinds[text] = kind(kept)
                 wordings.append(text)
                 of.append(kinds[text])
-            yield pd.DataFrame({**{c: b[c] for c in ("listing_id", "seller", "sku", "content", "brand")}, "kind": of, "wording": wordings})
+            yield pd.DataFrame({**{c: b[c] for c in ("listing_id", "article", "content", "brand")}, "kind": of, "wording": wordings})
 
-    return stage.cut(named.mapInPandas(word, "listing_id bigint, seller string, sku string, content string, brand string, kind string, wording string"))
+    return stage.cut(named.mapInPandas(word, "listing_id bigint, article bigint, content string, brand string, kind string, wording string"))
 
 
 def _difference(a: str, b: str) -> Column:
@@ -338,10 +379,13 @@ def _rewritten(sizes: DataFrame, evidence: DataFrame) -> DataFrame:
 def _pairs(worded: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
     """Pairs of wordings of one kind with their counts, differing terms and article evidence; rarity of terms in kinds."""
     sizes = stage.cut(worded.where("wording <> ''").groupBy("kind", "wording").count().withColumnRenamed("count", "n"))
-    articles = worded.where("sku is not null and seller is not null and wording <> ''").select("seller", "sku", "kind", "wording").distinct()
-    other = articles.withColumnRenamed("wording", "w2")
-    together = articles.withColumnRenamed("wording", "w1").join(other, ["seller", "sku", "kind"]).where("w1 < w2")
-    evidence = stage.cut(together.groupBy("kind", "w1", "w2").agg(F.count("*").alias("articles")).withColumn("difference", _difference("w1", "w2")))
+    # an article's distinct wordings meet where the article's rows lie: one shuffle of two numbers a listing
+    articles = worded.where("article is not null and wording <> ''").select("article", F.xxhash64("kind", "wording").alias("w")).repartition("article").distinct()
+    together = articles.withColumnRenamed("w", "h1").join(articles.withColumnRenamed("w", "h2"), "article").where("h1 < h2").groupBy("h1", "h2").agg(F.count("*").alias("articles"))
+    named = sizes.select("kind", "wording", F.xxhash64("kind", "wording").alias("h"))
+    of_one = together.join(named.toDF("kind", "a", "h1"), "h1").join(named.toDF("kind2", "b", "h2"), "h2").where("kind = kind2")
+    evidence = of_one.select("kind", F.least("a", "b").alias("w1"), F.greatest("a", "b").alias("w2"), "articles").withColumn("difference", _difference("w1", "w2"))
+    evidence = stage.cut(evidence)
     # wordings that are alike but for a term on either side share a key that lacks that term
     terms = F.split("wording", " ")
     keys = F.when(F.size(terms) > 2, F.transform(terms, lambda t: F.array_join(F.array_remove(terms, t), " "))).otherwise(F.array().cast("array<string>"))
@@ -414,11 +458,12 @@ def _trees(scored: DataFrame, stage: Stage) -> DataFrame:
 
 
 def label_products(df: DataFrame) -> DataFrame:
-    """(listing_id, product) of every listing whose product can be told; equal labels mean the same product.
+    """(listing_id, p1, p2) of every listing whose product can be told; equal (p1, p2) mean the same product.
 
-    Null, empty or unreadable names, contents or brands leave out the listing (they tell no product); nothing else is
-    left out. Repeated listings get the same label; an empty table gives no rows; extra columns are ignored; names of
-    any length are read whole. A seller's article number outvotes a wording that only it contradicts.
+    The label is a 128-bit hash of kind and variety, brand and content. Null, empty or unreadable names, contents or
+    brands leave out the listing (they tell no product); nothing else is left out. Repeated listings get the same
+    label; an empty table gives no rows; extra columns are ignored; names of any length are read whole. A seller's
+    article number outvotes a wording that only it contradicts.
     """
     stage = Stage(df.sparkSession, "products")
     named = _parse(df, stage)
@@ -427,25 +472,24 @@ def label_products(df: DataFrame) -> DataFrame:
     rarity, pairs = _pairs(worded, stage)
     trees = _trees(_reinforce(pairs, rarity, stage), stage)
     keyed = worded.join(trees, ["kind", "wording"], "left").withColumn("tree", F.coalesce("root", "wording"))
-    keyed = keyed.withColumn("product", F.when((F.col("tree") != "") & F.col("brand").isNotNull() & F.col("content").isNotNull(), F.concat_ws("\t", "kind", "tree", "brand", "content")))
-    labelled = stage.cut(keyed.select("listing_id", "seller", "sku", "product"))
+    told = (F.col("tree") != "") & F.col("brand").isNotNull() & F.col("content").isNotNull()
+    parts = ("kind", "tree", "brand", "content")
+    labelled = stage.cut(keyed.select("listing_id", "article", F.when(told, F.xxhash64(*parts)).alias("p1"), F.when(told, F.xxhash64(*reversed(parts), F.lit(1))).alias("p2")))
     # the label that most of an article's listings have
-    votes = labelled.where("sku is not null and seller is not null and product is not null").groupBy("seller", "sku", "product").count()
-    won = votes.groupBy("seller", "sku").agg(F.max_by("product", F.struct("count", "product")).alias("voted"), F.count("*").alias("choices"), F.max("count").alias("most"), F.sum("count").alias("all"))
-    outvoted = won.where((F.col("choices") > 1) & (2 * F.col("most") > F.col("all"))).select("seller", "sku", "voted")
-    voted = labelled.join(outvoted, ["seller", "sku"], "left").select("listing_id", F.coalesce("voted", "product").alias("product"))
-    return voted.where(F.col("product").isNotNull())
+    votes = labelled.where("article is not null and p1 is not null").repartition("article").groupBy("article", "p1", "p2").count()
+    won = votes.groupBy("article").agg(F.max_by(F.struct("p1", "p2"), F.struct("count", "p1", "p2")).alias("voted"), F.count("*").alias("choices"), F.max("count").alias("most"), F.sum("count").alias("all"))
+    outvoted = won.where((F.col("choices") > 1) & (2 * F.col("most") > F.col("all"))).select("article", "voted")
+    voted = labelled.join(outvoted, "article", "left").select("listing_id", F.coalesce("voted.p1", "p1").alias("p1"), F.coalesce("voted.p2", "p2").alias("p2"))
+    return voted.where(F.col("p1").isNotNull())
 
 
 def product_pairs(df: DataFrame) -> DataFrame:
     """(listing_id_1, listing_id_2), smaller first: every pair of listings of the same product, each once.
 
     The listings of a product are its rows; the join on the label writes exactly the pairs asked for, and a product
-    with very many listings is split by adaptive skew handling.
+    with very many listings is split by adaptive skew handling. A listing that occurs in several rows counts once.
     """
     stage = Stage(df.sparkSession, "product-pairs")
-    labels = stage.cut(label_products(df).select("listing_id", F.xxhash64("product").alias("h"), "product").distinct())
-    busy = labels.groupBy("product", "h").agg(F.count("*").alias("c")).where("c > 1").select("product", "h")
-    several = labels.join(busy, ["product", "h"], "left_semi")
-    left, right = several.select("h", "product", F.col("listing_id").alias("listing_id_1")), several.select("h", "product", F.col("listing_id").alias("listing_id_2"))
-    return left.join(right, ["h", "product"]).where("listing_id_1 < listing_id_2").select("listing_id_1", "listing_id_2")
+    labels = stage.cut(label_products(df))
+    left, right = labels.toDF("listing_id_1", "p1", "p2"), labels.toDF("listing_id_2", "p1", "p2")
+    return left.join(right, ["p1", "p2"]).where("listing_id_1 < listing_id_2").select("listing_id_1", "listing_id_2")
