@@ -21,6 +21,8 @@ POUND_G, OUNCE_G, FLUID_OUNCE_ML = Decimal("453.59237"), Decimal("28.349523125")
 
 # No package holds less or more than this many g or ml.
 LEAST, MOST = Decimal(15), Decimal(30000)
+#: Longer figures are no amounts; more pieces than this are no package.
+MOST_DIGITS, MOST_PIECES = 15, Decimal(10**9)
 
 # Prefix -> power of ten.
 PREFIXES = {"": 0, "k": 3, "kilo": 3, "h": 2, "hecto": 2, "d": -1, "deci": -1, "c": -2, "centi": -2, "m": -3, "mili": -3}
@@ -152,6 +154,8 @@ _TOKEN = re.compile(r"\d+/\d+|\d+(?:[.,]\d+)*|[a-z]+3?|[^\sa-z0-9]")
 
 def _numbers(token: str) -> list[Decimal]:
     """What a figure may mean, the likelier reading first: 1.500 is fifteen hundred before it is one and a half."""
+    if len(token) > MOST_DIGITS:
+        return []
     if "/" in token:
         top, bottom = token.split("/")
         return [Decimal(top) / Decimal(bottom)] if int(bottom) else []
@@ -181,7 +185,7 @@ def half_up(value: Decimal) -> int:
 
 
 def in_range(dimension: str, total: Decimal) -> bool:
-    return total > 0 if dimension == UNIT else LEAST <= total <= MOST
+    return 0 < total <= MOST_PIECES if dimension == UNIT else LEAST <= total <= MOST
 
 
 @lru_cache(maxsize=100_000)
@@ -274,4 +278,4 @@ def read_content(text: str, dimension_hint: str | None = None) -> Content | None
             if in_range(dimension, total := value * factor * times):
                 return Content(dimension, half_up(total))
         return None
-    return Content(UNIT, half_up(times)) if counts and times > 0 else None
+    return Content(UNIT, half_up(times)) if counts and in_range(UNIT, times) else None

@@ -21,7 +21,7 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def search(df: DataFrame, query: str, columns: list[str], market: str | None = None, limit: int | None = None, fold: bool = False, tie: str = "sku") -> DataFrame:
-    """Rows in whose columns every token of the query occurs, cheapest first; prices of 0 and less count as unknown."""
+    """Rows in whose columns every token of the query occurs; prices of 0 and less count as unknown. With a limit, the cheapest."""
     hay = F.concat_ws(" ", *columns)
     hits = df.where(matches_search(hay, F.lit(query), fold))
     if market is not None:

@@ -14,6 +14,8 @@ from pricelens.operators.dedup import file_timestamp, latest_files
 
 ENCODINGS = ["utf-8", "windows-1252"]
 SEPARATORS = [",", ";", "\t"]
+_WESTERN = bytes(b for b in range(128, 160) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)).decode("cp1252")
+_C1 = "".join(chr(b) for b in range(128, 160) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
 
 
 def sniff(sample: bytes, separators: Iterable[str] = SEPARATORS) -> tuple[str, str]:
@@ -40,7 +42,9 @@ def read_delimited(spark: SparkSession, path: str, separators: Iterable[str] = S
     if not head or not bytes(head[0]["c"]).strip():
         return spark.createDataFrame([], "")
     encoding, separator = sniff(bytes(head[0]["c"]), separators)
-    return spark.read.csv(path, header=True, sep=separator, encoding=encoding, inferSchema=False, multiLine=True, escape='"', mode="PERMISSIVE")
+    western = encoding == "windows-1252"  # Spark reads its bytes as ISO-8859-1; they differ in 0x80 to 0x9F
+    table = spark.read.csv(path, header=True, sep=separator, encoding="ISO-8859-1" if western else encoding, inferSchema=False, multiLine=True, escape='"', mode="PERMISSIVE")
+    return table.select(*[F.translate(F.col(f"`{c}`"), _C1, _WESTERN).alias(c) for c in table.columns]) if western else table
 
 
 def list_files(spark: SparkSession, glob: str) -> DataFrame:
