@@ -2,8 +2,8 @@
 
 1. Each listing becomes its content in common units, its brand and a set of terms (misspelt words count as the frequent
    word one letter away; "sin", "con" and "en" stick to the word behind them).
-2. Terms spread evenly over all basket items say nothing about a product (offers, packings) and are left out; what is
-   left of a listing is its wording.
+2. Terms spread evenly over all basket items, that the listings of one article don't agree on, say nothing about a
+   product (offers, packings) and are left out; what is left of a listing is its wording.
 3. Two wordings form a pair if some product wears both (a seller's article number comes back with either) or if they
    differ by a term or so. Terms and pairs then weigh each other in turn: a pair scores the weight of its shared terms
    over that of all its terms, and a term weighs the mean score of the pairs that share it, less where pairs that do
@@ -39,6 +39,8 @@ MOST_WORDS = 60_000
 SLIP_RATIO = 8
 #: A term whose spread over basket items differs from that of all listings by less than this (in nats) is no attribute.
 EVEN_SPREAD = 0.33
+#: Unless another wording of the same article has it in more than this share of cases.
+MOST_CONSTANT = 0.5
 #: A term must occur so often to be judged.
 LEAST_SEEN = 8
 #: Least support of a pair of wordings by article numbers: so many articles, and such a share of the rarer wording.
@@ -282,6 +284,19 @@ def _parse(df: DataFrame, stage: Stage) -> DataFrame:
     return named
 
 
+def _constant_terms(named: DataFrame, terms: set[str]) -> set[str]:
+    """Those of the terms that the wordings of one article share more often than not: offers and packings change."""
+    if not terms:
+        return set()
+    asked = F.array(*[F.lit(t) for t in sorted(terms)])
+    marked = named.where("article is not null").select("article", F.xxhash64("terms").alias("h"), F.array_intersect(F.split("terms", " "), asked).alias("found"))
+    each = marked.repartition("article").groupBy("article", "h").agg(F.first("found").alias("found"))
+    sizes = each.groupBy("article").agg(F.count("*").alias("n")).where("n > 1")
+    having = each.select("article", F.explode("found").alias("term")).groupBy("article", "term").agg(F.count("*").alias("k"))
+    shares = having.join(sizes, "article").groupBy("term").agg((F.sum(F.col("k") * (F.col("k") - 1)) / F.sum(F.col("k") * (F.col("n") - 1))).alias("share"), F.count("*").alias("articles"))
+    return {r["term"] for r in shares.where((F.col("share") > MOST_CONSTANT) & (F.col("articles") >= LEAST_SEEN)).collect()}
+
+
 def _wordings(named: DataFrame, stage: Stage) -> DataFrame:
     """Each listing's wording (its attribute terms, sorted) and the basket item that the terms speak for."""
     each = named.select("item", F.explode(F.array_distinct(F.split("terms", " "))).alias("term")).where("term <> ''")
@@ -296,6 +311,7 @@ def _wordings(named: DataFrame, stage: Stage) -> DataFrame:
         spread = sum(k / n * math.log((k / n) / (totals.get(i, 1) / everything)) for i, k in r["items"].items())
         if spread - (len(r["items"]) - 1) / (2 * n) < EVEN_SPREAD and len(totals) > 3:
             even.add(r["term"])
+    even -= _constant_terms(named, even)
     # words that stand beside an even term as a rule belong to its phrase there
     seen = {r["term"]: r["n"] for r in known}
     array = F.split("terms", " ")

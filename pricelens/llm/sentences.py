@@ -46,14 +46,20 @@ LIST_MARK = re.compile(r"[ \t]*(?:[-*•–·▪◦]|\d{1,3}[.)]|[a-z]\))[ \t]+"
 
 # Shortened words that never end a sentence.
 NEVER_LAST = set(
-    "dr dra drs sr sra sres srta don dña av avda n no núm num nº pág pag págs p pp art aprox approx ej e.g i.e vs fig cap tel vol prof mr mrs ms st ing lic gral cf ca p.ej ص د रु डॉ श्री ee cdas".split()
+    "dr dra drs sr sra sres srta don dña av avda aprox approx ej e.g i.e vs tel prof mr mrs ms st ing lic gral cf ca p.ej د रु डॉ श्री ee cdas".split()
 )
+# Shortened words that don't end a sentence before a number.
+BEFORE_NUMBER = set("n no núm num nº pág pag págs p pp art fig cap vol ص".split())
 ENDED = re.compile(rf"[.!?…:。！？।؟॥۔:]+[{CLOSERS}]*\s*(?:{SIGN})?\s*$|{SIGN}\s*$")
 WORD = re.compile(r"[^\s" + OPENERS + CLOSERS + r".,;:!?…。！？．؟।॥۔،、，]+")
 LAST_WORD = re.compile(r"([^\s\"'«“‘(\[「『（¿¡]+)$")
 QUOTES = {"«": "»", "“": "”", "「": "」", "『": "』", "„": "“", "‹": "›"}
 
 
+#: Weights before training: a model that has seen little follows the plain cues.
+PRIOR = {"r1full": 3.0, "r0full": -3.0, "r1small": 1.0, "r0small": -1.5}
+
+
 class Place(NamedTuple):
     end: int  # the sentence would end before this character
     next: int  # and the next one would start here
@@ -196,7 +202,7 @@ def places(text: str) -> list[Place]:
         elif quote == "framed":
             rule, fixed = 0, True
         elif mark == "line":
-            rule = 0
+            rule, fixed = 0, True
         elif mark == "thai":
             rule = 1
         elif quote.startswith("closing") and quote.endswith("continued"):
@@ -212,7 +218,7 @@ def places(text: str) -> list[Place]:
             amount = re.search(r"\d[ \xa0]?\Z", text[max(0, m.start() - len(last) - 3) : m.start() - len(last)]) is not None
             alone = (len(bare) == 1 and bare.isalpha() and not amount) or (re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", bare) is not None and kind == "lower")
             line_start = m.start() - len(last) <= starts[line_no] + (len(line) - len(line.lstrip()))
-            if (bare in NEVER_LAST and not amount) or alone:
+            if (bare in NEVER_LAST and not amount) or (bare in BEFORE_NUMBER and kind == "digit") or alone:
                 rule = 0
             elif bare.isdigit() and len(bare) <= 3 and line_start and listed[line_no]:
                 rule, fixed = 0, True
@@ -368,7 +374,7 @@ def train(texts: list[str]) -> tuple[ChainModel, ChainModel]:
                     start = p.next
                     if len(sentence) > 1:
                         stripped.append(sentence)
-    model = ChainModel().fit(chains)
+    model = ChainModel(dict(PRIOR)).fit(chains)
     joined = []
     rng.shuffle(stripped)
     for i in range(0, len(stripped) - 2, 3):
