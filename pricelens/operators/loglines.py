@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.session import spread
+
 #: Length of the signature's head: every header but that of JSON lines is over by then.
 HEAD = 40
 #: So many signatures are resolved on the driver and broadcast; the workers resolve any rarer one in the same way.
@@ -273,4 +275,4 @@ def parse_logs(df: DataFrame, streams: dict[str, str], key: str = "run_id", star
 
     columns = [key, "flujo", "line_no", "n_lines", "entry_ts", "level", "component", "msg_md5", *["message"] * with_message]
     schema = f"`{key}` {key_type}, flujo string, line_no int, n_lines int, entry_ts string, level string, component string, msg_md5 string" + ", message string" * with_message
-    return logs.mapInPandas(parse, schema)
+    return spread(logs).mapInPandas(parse, schema)

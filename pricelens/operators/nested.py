@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.session import spread
+
 
 class Node(NamedTuple):
     kind: str
@@ -194,7 +196,7 @@ def flatten_nested(df: DataFrame, key: str = "payload_id", payload: str = "paylo
             yield pd.DataFrame(rows, columns=[key, "rel", "parent_id", "child_id", "price"])
 
     source = df.where(F.col(payload).isNotNull()).select(F.col(key).alias("k"), F.col(payload).alias("p"))
-    return source.mapInPandas(flatten, f"`{key}` {key_type}, rel string, parent_id string, child_id string, price bigint")
+    return spread(source).mapInPandas(flatten, f"`{key}` {key_type}, rel string, parent_id string, child_id string, price bigint")
 
 
 def link_by_containment(nodes: DataFrame, parent: str, child: str, key: str = "payload_id") -> DataFrame:

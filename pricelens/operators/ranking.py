@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pricelens.session import Stage
+
 
 def _after_nulls(value: Column, descending: bool, kind: str) -> list[Column]:
     """Sort keys for min_by over a struct: nulls last, numbers turned round where the order is descending."""
@@ -64,6 +66,18 @@ def prices_by_market(df: DataFrame, item: str, market: str, price: str, markets:
 
 
 def dense_labels(df: DataFrame, label: str, out: str = "group_id") -> DataFrame:
-    """Labels renumbered 1, 2, ... in their order; the distinct labels are numbered and joined back."""
-    numbered = df.select(label).distinct().withColumn(out, F.row_number().over(Window.orderBy(label)))
-    return df.join(numbered, label)
+    """Labels renumbered 1, 2, ... in their order.
+
+    The distinct labels are dealt by range and numbered within their parts; only the parts' sizes meet on the driver.
+    """
+    stage = Stage(df.sparkSession, "labels")
+    dealt = df.select(label).distinct().repartitionByRange(label).sortWithinPartitions(label)
+    placed = dealt.select(label, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
+    numbered = stage.cut(placed.select(label, "part", F.col("row").bitwiseAND((1 << 33) - 1).alias("row")))
+    before, offsets = 0, []
+    for r in numbered.groupBy("part").count().orderBy("part").collect():
+        offsets.append((r["part"], before))
+        before += r["count"]
+    starts = df.sparkSession.createDataFrame(offsets or [(0, 0)], "part int, start bigint")
+    ids = numbered.join(F.broadcast(starts), "part").select(label, (F.col("start") + F.col("row") + 1).alias(out))
+    return df.join(ids, label)

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: dict[str, list[tuple[SparkSession, str]]] = {}
+_roots: list[tuple[SparkSession, str]] = []
 
 
 def build_session(app: str = "pricelens", cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -37,6 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table in at least as many parts as there are cores, for work that costs more than moving the rows.
+
+    Large tables come in more parts than that anyway and stay as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", "")
@@ -55,6 +64,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@atexit.register
+def _clear() -> None:
+    """What the stages left in the shared folder goes when the driver ends in good order."""
+    for spark, root in _roots:
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, root)
+        except Exception:  # noqa: BLE001 - the session is gone; so are its folders' users
+            return
+
+
 class Stage:
     """Writes intermediate tables to the shared folder, so that lost executors cost no recomputation.
 
@@ -64,6 +84,7 @@ class Stage:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        _roots.append((spark, self.root))
 
     def cut(self, df: DataFrame, *partition_by: str) -> DataFrame:
         self.count += 1
