@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.session import spread
+
 NOT_IN_LIST = -1
 #: Least weighted share of a value's tokens, and of the form's, that must be aligned; least lead over the next entry.
 LEAST_OF_VALUE, LEAST_OF_FORM, LEAST_LEAD = 0.72, 0.2, 0.02
@@ -227,4 +229,4 @@ def map_to_list(df: DataFrame, table_name: str, key: str, value: str, reference:
             yield pd.DataFrame({"tabla": table_name, "fila_id": batch["k"], entry: [mapper.map(v) for v in batch["v"]]})
 
     typed = df.where(F.col(value).rlike(r"(?U)\S")).select(F.col(key).cast("bigint").alias("k"), F.col(value).alias("v"))
-    return typed.mapInPandas(work, f"tabla string, fila_id bigint, `{entry}` bigint")
+    return spread(typed).mapInPandas(work, f"tabla string, fila_id bigint, `{entry}` bigint")

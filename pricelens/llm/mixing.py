@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pricelens.llm.tokens import TOKENIZER_FILE, encode
-from pricelens.session import Stage
+from pricelens.session import Stage, spread
 
-#: Documents a block, about; the number of blocks follows the size of the source.
-BLOCK_DOCUMENTS = 2_000
+#: Documents a block, about; the number of blocks follows the size of the source up to MOST_BLOCKS, then the blocks grow.
+BLOCK_DOCUMENTS, MOST_BLOCKS = 2_000, 65_536
 BISECTIONS = 60
 #: The list of sources and their targets is short.
 MOST_SOURCES = 10_000
@@ -101,11 +101,10 @@ def mix_sources(
             yield pd.DataFrame({"k": b["k"], "source": b["source"], "size": [len(encode(t, tokenizer)) for t in b["t"]]})
 
     texts = df.where(F.length(text) > 0).select(F.col(key).alias("k"), F.col(source).alias("source"), F.col(text).alias("t")).join(F.broadcast(listed), "source", "left_semi")
-    spread = texts.select("k", "source", "t").repartition(max(1, spark.sparkContext.defaultParallelism))
-    documents = stage.cut(spread.mapInPandas(sized, f"k {key_type}, source string, size bigint").where("size > 0"))
+    documents = stage.cut(spread(texts.select("k", "source", "t")).mapInPandas(sized, f"k {key_type}, source string, size bigint").where("size > 0"))
     held = {r["source"]: (r["tokens"], r["n"]) for r in documents.groupBy("source").agg(F.sum("size").alias("tokens"), F.count("*").alias("n")).collect()}
     shares, _ = plan_mixture({s: t for s, (t, _) in held.items()}, {s: t for s, (t, _) in wanted.items()}, {s: m for s, (_, m) in wanted.items()}, total)
-    plan = [(x.source, x.target, x.budget // x.tokens, x.budget % x.tokens, max(1, math.ceil(held[x.source][1] / BLOCK_DOCUMENTS))) for x in shares]
+    plan = [(x.source, x.target, x.budget // x.tokens, x.budget % x.tokens, min(MOST_BLOCKS, math.ceil(held[x.source][1] / BLOCK_DOCUMENTS))) for x in shares]
     budgets = F.broadcast(spark.createDataFrame(plan or [(None, 0.0, 0, 0, 1)], "source string, share_objetivo double, passes bigint, over bigint, blocks bigint"))
     order = F.xxhash64("k", F.lit(seed))
     dealt = documents.join(budgets, "source").withColumn("order", order).withColumn("block", F.pmod(F.shiftrightunsigned("order", 17), F.col("blocks")))

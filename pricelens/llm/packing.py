@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.llm.tokens import TOKENIZER_FILE, encode
-from pricelens.session import Stage
+from pricelens.session import Stage, spread
 
 #: Documents a shard: the index, its postings and the fill loop of one task are bounded by it.
 SHARD_DOCUMENTS = 3_000
+#: So many partitions at most; beyond that a partition holds several shards, one after another.
+MOST_PARTS = 20_000
 #: A seed asks with so many of its weightiest terms, and looks at so many of the best answers.
 QUERY_TERMS, MOST_NEIGHBOURS = 24, 48
 K1, B = 1.2, 0.75
@@ -154,32 +156,40 @@ def pack_documents(
 
     group = F.concat_ws("\t", *[F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for c in alike]) if alike else F.lit("")
     source = df.where(F.length(text) > 0).select(F.col(key).alias("k"), group.alias("group"), F.col(text).alias("t"))
-    parts = max(1, spark.sparkContext.defaultParallelism)
-    # tokenizing is the heaviest step and files may be few
-    documents = stage.cut(source.repartition(parts).mapInPandas(sized, f"k {key_type}, `group` string, size int, terms array<int>, counts array<int>"))
+    documents = stage.cut(spread(source).mapInPandas(sized, f"k {key_type}, `group` string, size int, terms array<int>, counts array<int>"))
     n = documents.count()
     # the vocabulary bounds this table
     frequency = {r["t"]: r["count"] for r in documents.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
     shared = spark.sparkContext.broadcast((frequency, n, kinds))
 
+    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The documents of a partition, which come likes by likes, SHARD_DOCUMENTS at a time."""
+        waiting: list[pd.DataFrame] = []
+        for b in batches:
+            while len(b):
+                free = SHARD_DOCUMENTS - sum(map(len, waiting))
+                waiting.append(b.iloc[:free])
+                b = b.iloc[free:]
+                if sum(map(len, waiting)) == SHARD_DOCUMENTS:
+                    yield pd.concat(waiting, ignore_index=True)
+                    waiting = []
+        if waiting:
+            yield pd.concat(waiting, ignore_index=True)
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequency, n, kinds = shared.value
-        whole = [b for b in batches if len(b)]
-        if not whole:
-            return
-        shard = pd.concat(whole, ignore_index=True).sort_values(["size", "k"], ascending=[False, True], ignore_index=True)
         number = TaskContext.get().partitionId()
-        for start in range(0, len(shard), 4 * SHARD_DOCUMENTS):  # should the range's sample have been unlucky
-            part = shard.iloc[start : start + 4 * SHARD_DOCUMENTS]
-            sizes = part["size"].to_numpy(dtype="int64")
-            index = Index([np.asarray(t, dtype="int32") for t in part["terms"]], [np.asarray(c) for c in part["counts"]], sizes, frequency, n)
-            keys = part["k"].to_numpy()
+        for shard_number, shard in enumerate(shards(batches)):
+            shard = shard.sort_values(["size", "k"], ascending=[False, True], ignore_index=True)
+            sizes = shard["size"].to_numpy(dtype="int64")
+            index = Index([np.asarray(t, dtype="int32") for t in shard["terms"]], [np.asarray(c) for c in shard["counts"]], sizes, frequency, n)
+            keys = shard["k"].to_numpy()
             for name, capacity in kinds:
                 placed = fill(index, sizes, capacity)
                 yield pd.DataFrame(
                     {
                         "contenedor": name,
-                        "caja": [f"{number:06d}-{start:06d}-{p.container:07d}" for p in placed],
+                        "caja": [f"{number:06d}-{shard_number:06d}-{p.container:07d}" for p in placed],
                         "posicion": [p.position for p in placed],
                         key: keys[[p.document for p in placed]],
                         "primer_token": [p.first_token for p in placed],
@@ -187,8 +197,8 @@ def pack_documents(
                     }
                 )
 
-    shards = max(1, math.ceil(n / SHARD_DOCUMENTS))
-    dealt = documents.repartitionByRange(shards, "group", F.xxhash64("k"))
+    parts = min(MOST_PARTS, max(1, math.ceil(n / SHARD_DOCUMENTS)))
+    dealt = documents.repartitionByRange(parts, "group", F.xxhash64("k")).sortWithinPartitions("group", F.xxhash64("k"))
     return dealt.mapInPandas(pack, f"contenedor string, caja string, posicion int, `{key}` {key_type}, primer_token int, n_tokens int")
 
 

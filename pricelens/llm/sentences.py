@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.session import spread
+
 #: So many documents (by the smallest hash of their text) are fitted on, over so many rounds; longer ones count whole.
 SAMPLE_DOCUMENTS, SAMPLE_MOST_CHARS, ROUNDS = 1_500, 6_000, 4
 #: Lines of scripts without blanks that hold no punctuation and more characters than this may hold several sentences.
@@ -169,6 +171,8 @@ def places(text: str) -> list[Place]:
         closers = m["close"] or ""
         before = LAST_WORD.search(text, max(0, m.start() - 40), m.start())
         last = before[1].casefold() if before else ""
+        if re.match(r"\w{3,}[.!?]\w", last) and "www" not in last and "@" not in last:  # no blank between two sentences
+            last = re.split(r"[.!?]", last.rstrip("."))[-1]
         mark = "sign" if m["only"] else "line" if m["line"] is not None else "thai" if m["thai"] is not None else "…" if len(term) > 1 and set(term) <= set(".…") or "…" in term else term[0]
         # line breaks
         brk = "none" if not breaks else "blank" if breaks > 1 else "line"
@@ -412,4 +416,4 @@ def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
             yield pd.DataFrame({key: keys, "sent_no": numbers, "start_pos": starts, "end_pos": ends})
 
     source = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return source.mapInPandas(split, f"`{key}` {key_type}, sent_no int, start_pos int, end_pos int")
+    return spread(source).mapInPandas(split, f"`{key}` {key_type}, sent_no int, start_pos int, end_pos int")
