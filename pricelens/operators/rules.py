@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.text import contains_all, contains_all_words, contains_any, contains_any_word, words
+from pricelens.functions.text import contains_all, contains_all_words, contains_any, contains_any_word, contains_word, words
 
 RULE_SCHEMA = "rule string, any_of array<string>, all_of array<string>, none_of array<string>, family string, least double, most double"
 #: More rules than this aren't a rule list.
@@ -29,6 +29,11 @@ def size_allowed(family: Column, size: Column) -> Column:
     return F.coalesce(right & inside, F.lit(False))
 
 
+def first_met(text: Column, leads: Column, lead: Column) -> Column:
+    """The lead is the first of its list that the text has: each pair then meets once, without a distinct."""
+    return F.try_element_at(F.filter(leads, lambda w: contains_word(text, w)), F.lit(1)) == lead
+
+
 def match_rules(products: DataFrame, rules: DataFrame, text: str, family: str, size: str) -> DataFrame:
     """Every (rule, product) that meet; ``text`` is a cleaned text. A product with null text meets none.
 
@@ -37,11 +42,12 @@ def match_rules(products: DataFrame, rules: DataFrame, text: str, family: str, s
     if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
         raise ValueError("too many rules")
     named = rules.withColumnRenamed("family", "rule_family")
-    leads = F.when(F.size("any_of") > 0, F.col("any_of")).otherwise(F.slice("all_of", 1, 1))
-    keyed = named.withColumn("lead", F.explode(F.array_distinct(F.transform(leads, lambda p: F.split(p, " ")[0]))))
+    phrases = F.when(F.size("any_of") > 0, F.col("any_of")).otherwise(F.slice("all_of", 1, 1))
+    keyed = named.withColumn("leads", F.array_distinct(F.transform(phrases, lambda p: F.split(p, " ")[0]))).withColumn("lead", F.explode("leads"))
     spread = products.withColumn("lead", F.explode(F.array_distinct(words(F.col(text)))))
-    met = spread.join(F.broadcast(keyed), "lead").where(rule_holds(F.col(text)) & size_allowed(F.col(family), F.col(size)))
-    return met.drop("lead", "any_of", "all_of", "none_of", "rule_family", "least", "most").distinct()
+    met = spread.join(F.broadcast(keyed), "lead").where(first_met(F.col(text), F.col("leads"), F.col("lead")))
+    met = met.where(rule_holds(F.col(text)) & size_allowed(F.col(family), F.col(size)))
+    return met.drop("lead", "leads", "any_of", "all_of", "none_of", "rule_family", "least", "most")
 
 
 def with_missing(rules: DataFrame, met: DataFrame) -> DataFrame:

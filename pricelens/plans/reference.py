@@ -404,18 +404,19 @@ def k4_cart_candidates(spark, sf_dir):
     """The five best offers of each market for each item of a cart."""
     wanted = spark.createDataFrame(_CART, "item string, tokens array<string>, family string, wanted double").withColumn("lead", F.explode("tokens"))
     o = sized(offers(spark, sf_dir)).where("price > 100 and price < 500000").withColumn("clean", text.clean_text(F.col("name")))
-    met = o.withColumn("lead", F.explode(F.array_distinct(text.words(F.col("clean"))))).join(F.broadcast(wanted), "lead").drop("lead").dropDuplicates(["item", "idx"])
+    met = o.withColumn("lead", F.explode(F.array_distinct(text.words(F.col("clean"))))).join(F.broadcast(wanted), "lead").where(rules.first_met(F.col("clean"), F.col("tokens"), F.col("lead")))
     score = scores.cart_score(F.col("tokens"), F.col("clean"), F.col("clean"), F.lit(""), F.lit(""), F.coalesce(F.col("unit_family") == F.col("family"), F.lit(False)), F.col("size_std"), F.col("wanted"), F.array().cast("array<string>"))
     scored = met.withColumn("score", score).where("score > 0")
     return ranking.top_per_group(scored, ["item", "supermarket"], [F.desc("score"), F.col("price"), F.col("idx")], 5).select("item", "supermarket", "puesto", "idx", F.round("score", 6).alias("score"))
 
 
-@query("""WITH b AS (SELECT DISTINCT lower(p_brand) AS x FROM part), c AS (SELECT replace(x, '#', ' ') AS x FROM b), p AS (SELECT a.x AS a, b.x AS b FROM c a JOIN c b ON a.x <= b.x)
-  SELECT a, b, round(CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.9 ELSE len(list_intersect(str_split(a, ' '), str_split(b, ' '))) / len(list_distinct(list_concat(str_split(a, ' '), str_split(b, ' ')))) END, 6) AS parecido FROM p""")
+@query("""WITH c AS (SELECT p_partkey, replace(lower(p_brand), '#', ' ') AS x FROM part), p AS (SELECT a.p_partkey, a.x AS a, b.x AS b FROM c a JOIN c b ON b.p_partkey = a.p_partkey + 1)
+  SELECT p_partkey, round(CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.9 ELSE len(list_intersect(str_split(a, ' '), str_split(b, ' '))) / len(list_distinct(list_concat(str_split(a, ' '), str_split(b, ' ')))) END, 6) AS parecido FROM p""")
 def k1_brand_scores(spark, sf_dir):
-    """Likeness of each two of the short list of brands."""
-    brands = table(spark, sf_dir, "part").select(text.clean_text(F.col("p_brand")).alias("a")).distinct()
-    return brands.join(brands.withColumnRenamed("a", "b"), F.col("a") <= F.col("b")).select("a", "b", F.round(scores.brand_score(F.col("a"), F.col("b")), 6).alias("parecido"))
+    """Likeness of each part's brand to that of the next."""
+    brands = table(spark, sf_dir, "part").select("p_partkey", text.clean_text(F.col("p_brand")).alias("a"))
+    after = brands.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b"))
+    return brands.join(after, "p_partkey").select("p_partkey", F.round(scores.brand_score(F.col("a"), F.col("b")), 6).alias("parecido"))
 
 
 _PREP = rf"""@offers, s AS (SELECT *, {_STD} AS size_std, {_FAMILY} AS unit_family, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS clean,

@@ -48,7 +48,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", "")
+    configured = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if configured:
         return configured.rstrip("/")
     local = getattr(shared_dir, "local", None)
