@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pricelens.functions.quantity_text import PREFIXES, ROOTS, read_content, read_unit
+from pricelens.llm.canonical_names import letter_distance
 from pricelens.llm.encoding_repair import restore
 from pricelens.operators.quantities import whole_content
 from pricelens.session import Stage
@@ -37,6 +38,10 @@ from pricelens.session import Stage
 MOST_WORDS = 60_000
 #: A word is a slip of another if that one is a letter away and so many times commoner.
 SLIP_RATIO = 8
+#: Brands are rarer and more alike than words: a brand seen more than twice must be so many times rarer to be a slip.
+BRAND_SLIP_RATIO = 60
+#: A word of a name may be a misspelt brand if names have the brand so many times as often.
+WORD_RATIO = 20
 #: A term whose spread over basket items differs from that of all listings by less than this (in nats) is no attribute.
 EVEN_SPREAD = 0.33
 #: Unless another wording of the same article has it in more than this share of cases.
@@ -48,6 +53,8 @@ LEAST_ARTICLES, LEAST_SHARE = 2, 0.01
 #: Least rarity of a term that its whole kind has.
 LEAST_RARITY = 0.02
 THRESHOLD, LEAST_CHANGE, MOST_ROUNDS = 0.8, 0.01, 8
+#: Trees of up to so many wordings go to the listings by broadcast, more by a join.
+MOST_BROADCAST_WORDINGS = 100_000
 
 # Words that carry no attribute, legal forms and titles of brands, words that stick to the next one.
 FILLERS = set("de y a la lo el del al los las x un una por".split())
@@ -174,8 +181,8 @@ def _one_less(word: str) -> set[str]:
 class Vocabulary:
     """Frequent words and the frequent word that a rarer one is a slip of."""
 
-    def __init__(self, counts: dict[str, int], least: int = 25, least_length: int = 4):
-        self.counts, self.least_length = counts, least_length
+    def __init__(self, counts: dict[str, int], least: int = 25, least_length: int = 4, ratio: int = SLIP_RATIO):
+        self.counts, self.least_length, self.ratio = counts, least_length, ratio
         self.index: dict[str, list[str]] = defaultdict(list)
         for word, n in counts.items():
             if n >= least and len(word) >= least_length:
@@ -190,7 +197,9 @@ class Vocabulary:
                 self.known.clear()
             own, found = self.counts.get(word, 1), word
             if len(word) >= self.least_length and word.isalpha():
-                near = {w for key in _one_less(word) for w in self.index.get(key, ()) if w != word and self.counts[w] >= SLIP_RATIO * own and abs(len(w) - len(word)) <= 1}
+                times = SLIP_RATIO if own <= 2 else self.ratio
+                near = {w for key in _one_less(word) for w in self.index.get(key, ()) if w != word and self.counts[w] >= times * own}
+                near = {w for w in near if letter_distance(word, w, 1) <= 1}
                 if near:
                     found = max(near, key=lambda w: (self.counts[w], w))
             self.known[word] = found
@@ -201,13 +210,18 @@ def _brand_words(brand: str | None) -> list[str]:
     return [w for w in re.findall(r"[a-z]+", fold(brand or "")) if w not in BRAND_TITLES]
 
 
-def terms_of(words: Iterable[str], spelling: Vocabulary, brands: Vocabulary, brand_names: set[str]) -> tuple[list[str], str | None]:
-    """The terms of a name's words in order, and the first brand among them."""
+def terms_of(words: Iterable[str], spelling: Vocabulary, brands: Vocabulary, in_names: dict[str, int]) -> tuple[list[str], str | None]:
+    """The terms of a name's words in order, and the first brand among them. ``in_names`` has the brands and how often
+    names have them."""
     canonical = []
     brand = None
     for w in words:
-        b = w if w in brand_names else (brands.canonical(w) if len(w) >= 6 and spelling.counts.get(w, 1) < 25 else w)
-        if b in brand_names:
+        b = w
+        if w not in in_names and len(w) >= 6:
+            b = brands.canonical(w)
+            if in_names.get(b, 0) < WORD_RATIO * spelling.counts.get(w, 1) and spelling.counts.get(w, 1) > 2:
+                b = w
+        if b in in_names:
             brand = brand or b
             canonical.append(None)
         else:
@@ -267,8 +281,8 @@ def _parse(df: DataFrame, stage: Stage) -> DataFrame:
 
     def name_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         word_counts, brand_counts = shared.value
-        brands = Vocabulary(brand_counts, least=3, least_length=5)
-        brand_names = {w for w, n in brand_counts.items() if n >= 3 and brands.canonical(w) == w and len(w) > 3}
+        brands = Vocabulary(brand_counts, least=3, least_length=5, ratio=BRAND_SLIP_RATIO)
+        brand_names = {w: word_counts.get(w, 1) for w, n in brand_counts.items() if n >= 3 and brands.canonical(w) == w and len(w) > 3}
         spelling = Vocabulary({w: n for w, n in word_counts.items() if w not in brand_names})
         for b in batches:
             terms, brand = [], []
@@ -276,7 +290,7 @@ def _parse(df: DataFrame, stage: Stage) -> DataFrame:
                 t, in_name = terms_of(words.split(), spelling, brands, brand_names)
                 given = [brands.canonical(w) for w in brand_words.split()]
                 terms.append(" ".join(t))
-                brand.append(next((w for w in given if w in brand_names), None) or in_name or (given[0] if given else None))
+                brand.append(next((w for w in given if w in brand_names), None) or in_name or max(given, key=len, default=None))
             yield pd.DataFrame({"listing_id": b["listing_id"], "article": b["article"], "item": b["item"], "content": b["content"], "brand": brand, "terms": terms})
 
     named = stage.cut(parsed.mapInPandas(name_terms, "listing_id bigint, article bigint, item string, content string, brand string, terms string"))
@@ -346,25 +360,30 @@ def _wordings(named: DataFrame, stage: Stage) -> DataFrame:
 
             return max(sorted(candidates), key=says)
 
+        known: dict[str, tuple[str, str]] = {}
         for b in batches:
+            if len(known) > 500_000:
+                known.clear()
             wordings, of = [], []
-            for terms in b["terms"]:
-                terms = terms.split()
-                kept = []
-                for i, t in enumerate(terms):
-                    if t in even or t not in floors:
-                        continue
-                    if (i and (terms[i - 1], t) in phrases) or (i + 1 < len(terms) and (t, terms[i + 1]) in phrases):
-                        continue
-                    kept.append(t)
-                kept = sorted(set(kept))
-                text = " ".join(kept)
-                if text not in kinds:
-                    if len(kinds) > 300_000:
-                        kinds.clear()
-                    kinds[text] = kind(kept)
-                wordings.append(text)
-                of.append(kinds[text])
+            for text in b["terms"]:
+                found = known.get(text)
+                if found is None:
+                    terms = text.split()
+                    kept = set()
+                    for i, t in enumerate(terms):
+                        if t in even or t not in floors:
+                            continue
+                        if (i and (terms[i - 1], t) in phrases) or (i + 1 < len(terms) and (t, terms[i + 1]) in phrases):
+                            continue
+                        kept.add(t)
+                    wording = " ".join(sorted(kept))
+                    if wording not in kinds:
+                        if len(kinds) > 300_000:
+                            kinds.clear()
+                        kinds[wording] = kind(sorted(kept))
+                    found = known[text] = (wording, kinds[wording])
+                wordings.append(found[0])
+                of.append(found[1])
             yield pd.DataFrame({**{c: b[c] for c in ("listing_id", "article", "content", "brand")}, "kind": of, "wording": wordings})
 
     return stage.cut(named.mapInPandas(word, "listing_id bigint, article bigint, content string, brand string, kind string, wording string"))
@@ -487,7 +506,7 @@ def label_products(df: DataFrame) -> DataFrame:
     stage.drop(named)
     rarity, pairs = _pairs(worded, stage)
     trees = _trees(_reinforce(pairs, rarity, stage), stage)
-    keyed = worded.join(trees, ["kind", "wording"], "left").withColumn("tree", F.coalesce("root", "wording"))
+    keyed = worded.join(F.broadcast(trees) if trees.count() <= MOST_BROADCAST_WORDINGS else trees, ["kind", "wording"], "left").withColumn("tree", F.coalesce("root", "wording"))
     told = (F.col("tree") != "") & F.col("brand").isNotNull() & F.col("content").isNotNull()
     parts = ("kind", "tree", "brand", "content")
     labelled = stage.cut(keyed.select("listing_id", "article", F.when(told, F.xxhash64(*parts)).alias("p1"), F.when(told, F.xxhash64(*reversed(parts), F.lit(1))).alias("p2")))
