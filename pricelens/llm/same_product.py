@@ -20,8 +20,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,8 @@ WORD_RATIO = 20
 EVEN_SPREAD = 0.33
 #: Unless another wording of the same article has it in more than this share of cases.
 MOST_CONSTANT = 0.5
+#: A partition's counts are handed on when there are so many different ones.
+MOST_CELLS = 500_000
 #: A term must occur so often to be judged.
 LEAST_SEEN = 8
 #: Least support of a pair of wordings by article numbers: so many articles, and such a share of the rarer wording.
@@ -60,6 +63,7 @@ MOST_BROADCAST_WORDINGS = 100_000
 FILLERS = set("de y a la lo el del al los las x un una por".split())
 BRAND_TITLES = set("don dona hnos hermanos cia ca s a sa ltda spa".split())
 STICKY = {"sin": "sin_", "con": "con_", "en": "en_", "zero": "sin_", "0": "sin_", "0pct": "sin_", "cero": "sin_"}
+JOINED = ("en", "sin", "con")
 
 _WORD = re.compile(r"[a-z]+|\d+(?:[.,]\d+)*(?:pct)?")
 _UNITS = {p + r + s for r in ROOTS for p in PREFIXES for s in ("", "s", "es")} | {"k", "kilo", "kilos", "fl", "liq"}
@@ -67,7 +71,7 @@ _AMOUNT = set("pack medio media cuarto cuartos un dos tres cuatro cinco seis doc
 _LOST = re.compile("(?<=[a-z])[?\ufffd](?=[a-z])|(?<=[a-z])[?\ufffd]\\B")
 _WITHOUT, _WITH = re.compile(r"\bs/\s?"), re.compile(r"\bc/\s?")
 _PERCENT, _NUMBER, _FIRST = re.compile(r"(\d)\s?%"), re.compile(r"\bn[°º.]?\s?(?=\d)|n°\s?"), re.compile(r"(\d)\s?[ªa]\b")
-_INITIALS, _TIMES, _AND_A_HALF = re.compile(r"\b([a-z])\.\s?([a-z])\."), re.compile(r"(\d)x(\d)"), re.compile(r"\b(?:un )?(?:kilo|litro) y medio\b")
+_INITIALS, _TIMES, _AND_A_HALF = re.compile(r"\b([a-z])\.\s?([a-z])\."), re.compile(r"(\d)\s?x\s?(?=\d|medi|cuarto|un\b)"), re.compile(r"\b(?:un )?(?:kilo|litro) y medio\b")
 _GLUED = re.compile(r"(\d)([a-z]+)\b")
 
 
@@ -125,7 +129,7 @@ def words_of(name: str) -> tuple[list[str], list[str]]:
         text = _INITIALS.sub(r"\1\2 ", text)
     if " y medio" in text:
         text = _AND_A_HALF.sub(" ", text)
-    text = _TIMES.sub(r"\1 x \2", text)
+    text = _TIMES.sub(r"\1 x ", text)
     tokens = _WORD.findall(_GLUED.sub(lambda m: m[0] if m[2] == "pct" else f"{m[1]} {m[2]}", text))
     words, amount = [], []
     i, n = 0, len(tokens)
@@ -210,10 +214,23 @@ def _brand_words(brand: str | None) -> list[str]:
     return [w for w in re.findall(r"[a-z]+", fold(brand or "")) if w not in BRAND_TITLES]
 
 
-def terms_of(words: Iterable[str], spelling: Vocabulary, brands: Vocabulary, in_names: dict[str, int]) -> tuple[list[str], str | None]:
-    """The terms of a name's words in order, and the first brand among them. ``in_names`` has the brands and how often
-    names have them."""
-    canonical = []
+class Words(NamedTuple):
+    """What is known of words: counts, the basket items that they occur with, and which of them tell no product."""
+
+    counts: dict[str, int]
+    items: dict[str, dict[str, int]]
+    totals: dict[str, int]
+    even: set[str]
+    phrases: set[tuple[str, str]]
+
+
+def terms_of(words: Iterable[str], spelling: Vocabulary, brands: Vocabulary, in_names: dict[str, int], even: set[str], phrases: set[tuple[str, str]]) -> tuple[list[str], str | None]:
+    """The terms of a name's words in order, and the first brand among them.
+
+    ``in_names`` has the brands and how often names have them. Words that tell no product are left out, and so are words
+    that stand beside one of these as a rule.
+    """
+    canonical: list[str | None] = []
     brand = None
     for w in words:
         b = w
@@ -224,169 +241,218 @@ def terms_of(words: Iterable[str], spelling: Vocabulary, brands: Vocabulary, in_
         if b in in_names:
             brand = brand or b
             canonical.append(None)
-        else:
+        elif w not in FILLERS:
             canonical.append(spelling.canonical(w))
+        elif w == "de":
+            canonical.append(w)
+    told: list[str | None] = []
+    plain = [c for c in canonical if c is not None and c != "de"]
+    i = -1
+    for c in canonical:
+        if c is not None and c != "de":
+            i += 1
+            after_sticky = i > 0 and plain[i - 1] in JOINED
+            if (c in even and not after_sticky) or (i and (plain[i - 1], c) in phrases) or (i + 1 < len(plain) and (c, plain[i + 1]) in phrases):
+                continue
+        told.append(c)
     out: list[str] = []
-    i, n = 0, len(canonical)
+    i, n = 0, len(told)
     while i < n:
-        t = canonical[i]
-        nxt = canonical[i + 1] if i + 1 < n else None
-        if t is None:
+        t = told[i]
+        nxt = told[i + 1] if i + 1 < n else None
+        if t is None or t == "de":
             pass
         elif t in STICKY:
-            if nxt is not None and nxt not in FILLERS:
+            if nxt is not None and nxt != "de" and nxt not in BRAND_TITLES:
                 out.append(STICKY[t] + nxt)
                 i += 1
             elif t in ("zero", "cero"):
                 out.append(t)
-        elif t == "libre" and nxt == "de" and i + 2 < n and canonical[i + 2]:
-            out.append("sin_" + canonical[i + 2])
+        elif t == "libre" and nxt == "de" and i + 2 < n and told[i + 2]:
+            out.append("sin_" + told[i + 2])
             i += 2
         elif nxt == "free":
             out.append(t + "_free")
             i += 1
-        elif t not in FILLERS and t not in BRAND_TITLES and len(t) > 1:
+        elif t not in BRAND_TITLES and len(t) > 1:
             out.append(t)
         i += 1
     return out, brand
 
 
+def _base(term: str) -> str:
+    """The word in a term that sticks to a preposition."""
+    return term.removeprefix("sin_").removeprefix("con_").removeprefix("en_").removesuffix("_free")
+
+
 def _counts(values: DataFrame, column: str, least: int) -> dict[str, int]:
     counted = values.select(F.explode(F.split(column, " ")).alias("w")).where("w <> ''").groupBy("w").count().where(F.col("count") >= least)
     return {r["w"]: r["count"] for r in counted.orderBy(F.desc("count"), "w").limit(MOST_WORDS).collect()}
 
 
 def _parse(df: DataFrame, stage: Stage) -> DataFrame:
-    """Content, brand and terms of each listing; the vocabularies are counted over all of them."""
+    """Content, words and brand words of each listing."""
     schema = "listing_id bigint, article bigint, item string, words string, brand_words string, content string"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for k, name, brand, text, unit, size, family, item, article in zip(*[b[c] for c in b.columns], strict=True):
+            words_out, brand_out, content_out = [], [], []
+            for name, brand, text, unit, size, family in zip(*[b[c].tolist() for c in ("name", "brand", "net_content", "unit", "size_std", "unit_family")], strict=True):
                 name = name or ""
-                words, _ = words_of(name)
                 got = whole_content(text, unit, size, family)
-                content = f"{got.dimension}:{got.quantity}" if got else content_in_name(repaired(name), family)
-                rows.append((k, article, item, " ".join(words), " ".join(_brand_words(brand)), content))
-            yield pd.DataFrame(rows, columns=["listing_id", "article", "item", "words", "brand_words", "content"])
+                words_out.append(" ".join(words_of(name)[0]))
+                brand_out.append(" ".join(_brand_words(brand)))
+                content_out.append(f"{got.dimension}:{got.quantity}" if got else content_in_name(repaired(name), family))
+            yield pd.DataFrame({"listing_id": b["listing_id"], "article": b["article"], "item": b["cba_name"], "words": words_out, "brand_words": brand_out, "content": content_out})
 
     source = df.select(
         F.col("listing_id").cast("bigint"), "name", "brand", "net_content", "unit", F.col("size_std").cast("double").alias("size_std"), "unit_family", "cba_name",
         F.when((F.length(F.trim("sku")) > 0) & F.col("supermarket").isNotNull(), F.xxhash64("supermarket", F.trim("sku"))).alias("article"),
     )
-    parsed = stage.cut(source.mapInPandas(read, schema))
-    word_counts, brand_counts = _counts(parsed, "words", 2), _counts(parsed, "brand_words", 1)
-    shared = df.sparkSession.sparkContext.broadcast((word_counts, brand_counts))
+    return stage.cut(source.mapInPandas(read, schema))
 
-    def name_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        word_counts, brand_counts = shared.value
-        brands = Vocabulary(brand_counts, least=3, least_length=5, ratio=BRAND_SLIP_RATIO)
-        brand_names = {w: word_counts.get(w, 1) for w, n in brand_counts.items() if n >= 3 and brands.canonical(w) == w and len(w) > 3}
-        spelling = Vocabulary({w: n for w, n in word_counts.items() if w not in brand_names})
+
+_STICK = re.compile(rf"\b({'|'.join(JOINED)}) (\S+)")
+
+
+def _by_item(parsed: DataFrame) -> DataFrame:
+    """(term, item, n): listings by term and basket item, summed up within partitions first."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells: Counter[tuple[str, str]] = Counter()
         for b in batches:
-            terms, brand = [], []
-            for words, brand_words in zip(b["words"], b["brand_words"], strict=True):
-                t, in_name = terms_of(words.split(), spelling, brands, brand_names)
-                given = [brands.canonical(w) for w in brand_words.split()]
-                terms.append(" ".join(t))
-                brand.append(next((w for w in given if w in brand_names), None) or in_name or max(given, key=len, default=None))
-            yield pd.DataFrame({"listing_id": b["listing_id"], "article": b["article"], "item": b["item"], "content": b["content"], "brand": brand, "terms": terms})
+            for item, text in zip(b["item"].tolist(), b["words"].tolist(), strict=True):
+                item = item or ""
+                cells.update([(t, item) for t in set(_STICK.sub(r"\1_\2", text).split())])
+            if len(cells) > MOST_CELLS:
+                yield _cells(cells, "term", "item")
+                cells.clear()
+        yield _cells(cells, "term", "item")
 
-    named = stage.cut(parsed.mapInPandas(name_terms, "listing_id bigint, article bigint, item string, content string, brand string, terms string"))
-    stage.drop(parsed)
-    return named
-
-
-def _constant_terms(named: DataFrame, terms: set[str]) -> set[str]:
-    """Those of the terms that the wordings of one article share more often than not: offers and packings change."""
-    if not terms:
-        return set()
-    asked = F.array(*[F.lit(t) for t in sorted(terms)])
-    marked = named.where("article is not null").select("article", F.xxhash64("terms").alias("h"), F.array_intersect(F.split("terms", " "), asked).alias("found"))
-    each = marked.repartition("article").groupBy("article", "h").agg(F.first("found").alias("found"))
-    sizes = each.groupBy("article").agg(F.count("*").alias("n")).where("n > 1")
-    having = each.select("article", F.explode("found").alias("term")).groupBy("article", "term").agg(F.count("*").alias("k"))
-    shares = having.join(sizes, "article").groupBy("term").agg((F.sum(F.col("k") * (F.col("k") - 1)) / F.sum(F.col("k") * (F.col("n") - 1))).alias("share"), F.count("*").alias("articles"))
-    return {r["term"] for r in shares.where((F.col("share") > MOST_CONSTANT) & (F.col("articles") >= LEAST_SEEN)).collect()}
-
-
-def _wordings(named: DataFrame, stage: Stage) -> DataFrame:
-    """Each listing's wording (its attribute terms, sorted) and the basket item that the terms speak for."""
-    each = named.select("item", F.explode(F.array_distinct(F.split("terms", " "))).alias("term")).where("term <> ''")
-    cells = each.groupBy("term", F.coalesce("item", F.lit("")).alias("item")).count()
-    per_term = cells.groupBy("term").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("item", "count"))).alias("items")).where(F.col("n") >= LEAST_SEEN)
-    known = per_term.orderBy(F.desc("n"), "term").limit(MOST_WORDS).collect()
-    totals = {r["item"]: r["count"] for r in named.groupBy(F.coalesce("item", F.lit("")).alias("item")).count().orderBy(F.desc("count")).limit(2_000).collect()}
+    partial = parsed.select("item", "words").mapInPandas(count, "term string, item string, n bigint")
+    return partial.groupBy("term", "item").agg(F.sum("n").alias("n"))
+
+
+def _cells(cells: Counter, one: str, two: str) -> pd.DataFrame:
+    return pd.DataFrame([(a, b, n) for (a, b), n in cells.items()], columns=[one, two, "n"])
+
+
+def _constant_terms(parsed: DataFrame, terms: set[str]) -> set[str]:
+    """Those of the words that the names of one article share more often than not: offers and packings change.
+
+    Which of the words a name has is written as the bits of a number, so that a listing sends three numbers to where
+    its article's listings meet; equal names count once.
+    """
+    constant: set[str] = set()
+    listed = sorted(terms)
+    for start in range(0, len(listed), 60):
+        some = listed[start : start + 60]
+        bit = {t: 1 << i for i, t in enumerate(some)}
+
+        def mark(batches: Iterator[pd.DataFrame], bit: dict[str, int] = bit) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"article": b["article"], "h": b["h"], "bits": [sum({bit[w] for w in text.split() if w in bit}) for text in b["words"].tolist()]})
+
+        marked = parsed.where("article is not null").select("article", F.xxhash64("words").alias("h"), "words").mapInPandas(mark, "article bigint, h bigint, bits bigint")
+        names = marked.repartition("article").groupBy("article", "h").agg(F.first("bits").alias("bits"))
+        # a name among n of its article: of each word it has, k names have it
+        several = names.withColumn("n", F.count("*").over(Window.partitionBy("article"))).where("n > 1 and bits <> 0")
+        each = several.select("article", "n", F.explode(F.filter(F.array(*[F.lit(i) for i in range(len(some))]), lambda i: F.getbit("bits", i) == 1)).alias("i"))
+        having = each.groupBy("article", "i", "n").agg(F.count("*").alias("k"))
+        shares = having.groupBy("i").agg((F.sum(F.col("k") * (F.col("k") - 1)) / F.sum(F.col("k") * (F.col("n") - 1))).alias("share"), F.count("*").alias("articles"))
+        constant |= {some[r["i"]] for r in shares.collect() if r["share"] >= MOST_CONSTANT and r["articles"] >= LEAST_SEEN}
+    return constant
+
+
+def _beside(parsed: DataFrame, even: set[str]) -> DataFrame:
+    """(u, v, n): how often two words, one of them even, stand side by side."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells: Counter[tuple[str, str]] = Counter()
+        for b in batches:
+            for text in b["words"].tolist():
+                plain = [w for w in text.split() if w not in FILLERS]
+                cells.update([(u, v) for u, v in zip(plain, plain[1:], strict=False) if u in even or v in even])
+            if len(cells) > MOST_CELLS:
+                yield _cells(cells, "u", "v")
+                cells.clear()
+        yield _cells(cells, "u", "v")
+
+    return parsed.select("words").mapInPandas(count, "u string, v string, n bigint").groupBy("u", "v").agg(F.sum("n").alias("n"))
+
+
+def _words(parsed: DataFrame) -> Words:
+    """Counts over all listings of words, of words by basket item, and of neighbours of even words."""
+    per_term = _by_item(parsed).groupBy("term").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("item", "n"))).alias("items")).where("total > 1")
+    known = per_term.orderBy(F.desc("total"), "term").limit(MOST_WORDS).collect()
+    totals = {r["item"]: r["count"] for r in parsed.groupBy(F.coalesce("item", F.lit("")).alias("item")).count().orderBy(F.desc("count"), "item").limit(2_000).collect()}
     everything = max(1, sum(totals.values()))
+    counts = {r["term"]: r["total"] for r in known}
+    for r in known:  # a word counts wherever it stands
+        if "_" in r["term"]:
+            word = r["term"].split("_", 1)[1]
+            counts[word] = counts.get(word, 0) + r["total"]
     even: set[str] = set()
     for r in known:
-        n = r["n"]
+        n = r["total"]
+        if n < LEAST_SEEN or r["term"] in STICKY or r["term"] in FILLERS or len(totals) <= 3:
+            continue
         spread = sum(k / n * math.log((k / n) / (totals.get(i, 1) / everything)) for i, k in r["items"].items())
-        if spread - (len(r["items"]) - 1) / (2 * n) < EVEN_SPREAD and len(totals) > 3:
+        if spread - (len(r["items"]) - 1) / (2 * n) < EVEN_SPREAD:
             even.add(r["term"])
-    even -= _constant_terms(named, even)
-    # words that stand beside an even term as a rule belong to its phrase there
-    seen = {r["term"]: r["n"] for r in known}
-    array = F.split("terms", " ")
-    beside = named.select(F.explode(F.transform(F.slice(array, 1, F.greatest(F.size(array) - 1, F.lit(0))), lambda t, i: F.struct(t.alias("u"), F.element_at(array, i + 2).alias("v")))).alias("p")).groupBy("p.u", "p.v").count().where("count >= 20")
-    listed = F.broadcast(named.sparkSession.createDataFrame([(t,) for t in sorted(even)] or [("",)], "t string"))
-    near_even = beside.join(listed, F.col("u") == F.col("t"), "left_semi").union(beside.join(listed, F.col("v") == F.col("t"), "left_semi")).distinct()
+    even -= _constant_terms(parsed, even)
+    # words that stand beside an even one as a rule belong to its phrase there
     phrases = set()
-    for r in near_even.orderBy(F.desc("count"), "u", "v").limit(MOST_WORDS).collect():
-        u, v, n = r["u"], r["v"], r["count"]
-        if (u in even) != (v in even) and n >= 0.3 * seen.get(u if u in even else v, n):
+    for r in _beside(parsed, even).where("n >= 20").orderBy(F.desc("n"), "u", "v").limit(MOST_WORDS).collect():
+        u, v, n = r["u"], r["v"], r["n"]
+        if (u in even) != (v in even) and n >= 0.3 * counts.get(u if u in even else v, n):
             phrases.add((u, v))
-    likely: dict[str, dict[str, float]] = {}
-    for r in known:
-        if r["term"] not in even:
-            likely[r["term"]] = {i: math.log((k + 0.5 * totals.get(i, 1) / everything) / (r["n"] + 0.5)) for i, k in r["items"].items() if i}
-    floors = {r["term"]: r["n"] for r in known}
-    shared = named.sparkSession.sparkContext.broadcast((even, phrases, likely, floors, {i: k / everything for i, k in totals.items() if i}))
+    return Words(counts, {r["term"]: dict(r["items"]) for r in known if r["total"] >= LEAST_SEEN and r["term"] not in even}, totals, even, phrases)
+
+
+def _wordings(parsed: DataFrame, stage: Stage) -> DataFrame:
+    """Each listing's brand, wording (its attribute terms, sorted) and the basket item that the terms speak for."""
+    words, brand_counts = _words(parsed), _counts(parsed, "brand_words", 1)
+    everything = max(1, sum(words.totals.values()))
+    prior = {i: n / everything for i, n in words.totals.items() if i}
+    likely = {w: {i: math.log((k + 0.5 * prior.get(i, 1e-9)) / (words.counts[w] + 0.5)) for i, k in items.items() if i} for w, items in words.items.items()}
+    shared = parsed.sparkSession.sparkContext.broadcast((words.counts, brand_counts, words.even, words.phrases, likely, prior))
 
     def word(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        even, phrases, likely, floors, prior = shared.value
+        counts, brand_counts, even, phrases, likely, prior = shared.value
+        brands = Vocabulary(brand_counts, least=3, least_length=5, ratio=BRAND_SLIP_RATIO)
+        in_names = {w: counts.get(w, 1) for w, n in brand_counts.items() if n >= 3 and brands.canonical(w) == w and len(w) > 3}
+        spelling = Vocabulary({w: n for w, n in counts.items() if w not in in_names})
         kinds: dict[str, str] = {}
 
         def kind(terms: list[str]) -> str:
-            judged = [t for t in terms if t in likely]
-            candidates = {i for t in judged for i in likely[t]}
+            judged = [w for w in (t if t in likely else _base(t) for t in terms) if w in likely]
+            candidates = {i for w in judged for i in likely[w]}
             if not candidates:
                 return ""
 
             def says(i: str) -> float:
                 p = prior.get(i, 1e-9)
-                return sum(likely[t].get(i, math.log(0.5 * p / (floors[t] + 0.5))) - 0.5 * math.log(p) for t in judged)
+                return sum(likely[w].get(i, math.log(0.5 * p / (counts[w] + 0.5))) - 0.5 * math.log(p) for w in judged)
 
             return max(sorted(candidates), key=says)
 
-        known: dict[str, tuple[str, str]] = {}
         for b in batches:
-            if len(known) > 500_000:
-                known.clear()
-            wordings, of = [], []
-            for text in b["terms"]:
-                found = known.get(text)
-                if found is None:
-                    terms = text.split()
-                    kept = set()
-                    for i, t in enumerate(terms):
-                        if t in even or t not in floors:
-                            continue
-                        if (i and (terms[i - 1], t) in phrases) or (i + 1 < len(terms) and (t, terms[i + 1]) in phrases):
-                            continue
-                        kept.add(t)
-                    wording = " ".join(sorted(kept))
-                    if wording not in kinds:
-                        if len(kinds) > 300_000:
-                            kinds.clear()
-                        kinds[wording] = kind(sorted(kept))
-                    found = known[text] = (wording, kinds[wording])
-                wordings.append(found[0])
-                of.append(found[1])
-            yield pd.DataFrame({**{c: b[c] for c in ("listing_id", "article", "content", "brand")}, "kind": of, "wording": wordings})
-
-    return stage.cut(named.mapInPandas(word, "listing_id bigint, article bigint, content string, brand string, kind string, wording string"))
+            wordings, of, brand = [], [], []
+            for text, brand_words in zip(b["words"].tolist(), b["brand_words"].tolist(), strict=True):
+                terms, in_name = terms_of(text.split(), spelling, brands, in_names, even, phrases)
+                wording = " ".join(sorted({t for t in terms if counts.get(_base(t), 0) >= LEAST_SEEN}))
+                if wording not in kinds:
+                    if len(kinds) > 300_000:
+                        kinds.clear()
+                    kinds[wording] = kind(wording.split())
+                wordings.append(wording)
+                of.append(kinds[wording])
+                given = [brands.canonical(w) for w in brand_words.split()]
+                brand.append(next((w for w in given if w in in_names), None) or in_name or max(given, key=len, default=None))
+            yield pd.DataFrame({**{c: b[c] for c in ("listing_id", "article", "content")}, "brand": brand, "kind": of, "wording": wordings})
+
+    return stage.cut(parsed.select("listing_id", "article", "content", "words", "brand_words").mapInPandas(word, "listing_id bigint, article bigint, content string, brand string, kind string, wording string"))
 
 
 def _difference(a: str, b: str) -> Column:
@@ -501,9 +567,9 @@ def label_products(df: DataFrame) -> DataFrame:
     article number outvotes a wording that only it contradicts.
     """
     stage = Stage(df.sparkSession, "products")
-    named = _parse(df, stage)
-    worded = _wordings(named, stage)
-    stage.drop(named)
+    parsed = _parse(df, stage)
+    worded = _wordings(parsed, stage)
+    stage.drop(parsed)
     rarity, pairs = _pairs(worded, stage)
     trees = _trees(_reinforce(pairs, rarity, stage), stage)
     keyed = worded.join(F.broadcast(trees) if trees.count() <= MOST_BROADCAST_WORDINGS else trees, ["kind", "wording"], "left").withColumn("tree", F.coalesce("root", "wording"))
