@@ -230,7 +230,7 @@ def s1_latest_snapshots(spark, sf_dir):
 
 @query(f"""SELECT archivo, strptime(regexp_extract(archivo, '(20[0-9]{{6}}_[0-9]{{6}})', 1), '%Y%m%d_%H%M%S') AS timestamp_archivo, regexp_replace(archivo, '_?20[0-9]{{6}}_[0-9]{{6}}.*$', '') AS prefijo, count(*) AS n
   FROM {LISTINGS} WHERE archivo IS NOT NULL GROUP BY ALL""")
-def p2_file_timestamps(spark, sf_dir):
+def proj2_file_timestamps(spark, sf_dir):
     """The time and prefix that each file name carries."""
     files = listings(spark, sf_dir).where("archivo is not null").groupBy("archivo").agg(F.count("*").alias("n"))
     return files.select("archivo", dedup.file_timestamp(F.col("archivo")).cast("timestamp_ntz").alias("timestamp_archivo"), dedup.file_prefix(F.col("archivo")).alias("prefijo"), "n")
@@ -488,7 +488,7 @@ def s15_card_prices(spark, sf_dir):
 
 
 @query(f"""SELECT supermarket, count(*) AS n, count(name) AS con_nombre, count(last_category) AS con_categoria, count(category_std) AS con_estandar, count(price) AS con_precio FROM (SELECT supermarket, name, last_category, NULL AS category_std, NULL AS price FROM {LISTINGS}) GROUP BY supermarket""")
-def p5_standard_relation(spark, sf_dir):
+def proj5_standard_relation(spark, sf_dir):
     """Listings in the 26 columns of the standard relation; what they lack is null."""
     rows = listings(spark, sf_dir).withColumnRenamed("last_category", "subcat_name").drop("category_std")
     standard = to_schema(rows, PRODUCT, RENAMES["jumbo"])
