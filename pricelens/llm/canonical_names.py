@@ -63,6 +63,19 @@ def letter_distance(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
+def letters(word: str) -> int:
+    """The letters of a word as bits; an edit changes at most two of them."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
+def most_edits(n: int) -> int:
+    """How many edits two words may differ by, the longer of which has n letters."""
+    return 1 if n <= 4 else 2 if n <= 8 else 3
+
+
 def likeness(token: str, word: str) -> float:
     """How much a typed token resembles a word of the list, 0 to 1."""
     short = token.endswith("\x01")
@@ -80,7 +93,7 @@ def likeness(token: str, word: str) -> float:
     n = max(len(token), len(word))
     if n < 3 or min(len(token), len(word)) < 2:
         return 0.0
-    most = 1 if n <= 4 else 2 if n <= 8 else 3
+    most = most_edits(n)
     d = letter_distance(token, word, most)
     if short and d > most and len(token) >= 4:  # a shortened word may be misspelt too
         d = letter_distance(token, word[: len(token)], 1) + 1
@@ -130,6 +143,7 @@ class Mapper:
         for i, form in enumerate(self.forms):
             for token in form.tokens:
                 self.of_token.setdefault(token, []).append(i)
+        self.letters = {t: letters(t) for t in self.weight}
         self.alike: dict[str, dict[str, float]] = {}
         self.known: dict[str, int] = {}
 
@@ -138,7 +152,11 @@ class Mapper:
         if found is None:
             if len(self.alike) > 200_000:
                 self.alike.clear()
-            found = {w: s for w in self.weight if (s := likeness(token, w)) >= LEAST_LIKENESS}
+            # words that can't be near are passed over by their letters; a shortened token may lack any number of them
+            plain, short = token.rstrip("\x01"), token.endswith("\x01")
+            bits, n = letters(plain), len(plain)
+            near = self.weight if short else [w for w, b in self.letters.items() if (bits ^ b).bit_count() <= 2 * most_edits(max(n, len(w))) or w.startswith(plain)]
+            found = {w: s for w in near if (s := likeness(token, w)) >= LEAST_LIKENESS}
             self.alike[token] = found
         return found
 
