@@ -384,6 +384,7 @@ def _beside(parsed: DataFrame, even: set[str]) -> DataFrame:
 def _words(parsed: DataFrame) -> Words:
     """Counts over all listings of words, of words by basket item, and of neighbours of even words."""
     per_term = _by_item(parsed).groupBy("term").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("item", "n"))).alias("items")).where("total > 1")
+    per_term = per_term.withColumn("items", F.when(F.col("total") >= LEAST_SEEN, F.col("items")))
     known = per_term.orderBy(F.desc("total"), "term").limit(MOST_WORDS).collect()
     totals = {r["item"]: r["count"] for r in parsed.groupBy(F.coalesce("item", F.lit("")).alias("item")).count().orderBy(F.desc("count"), "item").limit(2_000).collect()}
     everything = max(1, sum(totals.values()))
