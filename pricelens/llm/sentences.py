@@ -39,11 +39,13 @@ CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 THAI = "฀-๿"
 #: Where a sentence may end: (1) marks with closers and signs, (2) a sign, (3) a line end, (4) a blank in Thai.
 PLACE = re.compile(
-    rf"(?P<term>(?:\.{{2,}}|…+|[.!?]+|[。！？．؟।॥۔]+)[.!?…。！？]*)(?P<close>[{CLOSERS}]*)(?P<sign>(?:[ \t]?{SIGN})*)(?=\s|$|[{CJK}{THAI}{OPENERS}]|(?<=[。！？।؟!?…”」』）])\S|(?<=[^\W\dA-Z_]{{2}}[.!?])[A-Z¿¡ÁÉÍÓÚÑ]|(?<=[\d%)»][.!?])[A-Z¿¡ÁÉÍÓÚÑ])"
+    rf"(?P<term>(?:\.{{2,}}|…+|[.!?]+|[。！？．؟।॥۔]+)[.!?…。！？]*)(?P<close>[{CLOSERS}]*)(?P<sign>(?:[ \t]?{SIGN})*)(?=\s|$|[{CJK}{THAI}{OPENERS}]|(?<=[。！？।؟!?…”」』）])\S|(?<=[^\W\dA-Z_]{{2}}[.!?])[A-Z¿¡ÁÉÍÓÚÑ]|(?<=[\d%)»][.!?])[A-Z¿¡ÁÉÍÓÚÑ]|(?<=[^\W\dA-Z_]{{3}}[.!?])[^\W\dA-Z_]{{2}})"
     rf"|(?P<only>{SIGN})(?=\s|$)"
     rf"|(?P<line>(?=[ \t\r\f\v]*\n))"
     rf"|(?P<thai>(?<=[{THAI}])(?=[ \t]+[{THAI}]))"
 )
+#: What looks like an address ends here.
+ADDRESS = re.compile(r"(?:www\.|@|://|/)\S*$")
 LIST_MARK = re.compile(r"[ \t]*(?:[-*•–·▪◦]|\d{1,3}[.)]|[a-z]\))[ \t]+")
 
 # Shortened words that never end a sentence.
@@ -155,6 +157,8 @@ def places(text: str) -> list[Place]:
         rest = re.compile(r"\s*").match(text, end)
         nxt = rest.end()
         gap = text[end:nxt]
+        if not gap and m["term"] and text[end : end + 1].islower() and (not small_doc or ADDRESS.search(text, max(0, end - 60), end)):
+            continue  # within a word or address
         if m["line"] is not None and (end == last_end or not text[last_end:end].strip()):
             continue
         last_end = end
@@ -213,6 +217,8 @@ def places(text: str) -> list[Place]:
             rule = 0
         elif mark in "。！？।॥۔؟":
             rule = 1
+        elif kind == "lower" and not gap and small_doc:
+            rule = int(last.rstrip(".") not in NEVER_LAST)
         elif kind == "comma" or kind == "lower":
             rule = 0
         elif mark == "…":
