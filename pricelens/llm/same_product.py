@@ -589,7 +589,8 @@ def product_pairs(df: DataFrame) -> DataFrame:
     """(listing_id_1, listing_id_2), smaller first: every pair of listings of the same product, each once.
 
     The listings of a product are its rows; the join on the label writes exactly the pairs asked for, and a product
-    with very many listings is split by adaptive skew handling. A listing that occurs in several rows counts once.
+    with very many listings is split by adaptive skew handling. A listing that occurs in several rows gives its
+    pairs as often; it never pairs with itself.
     """
     stage = Stage(df.sparkSession, "product-pairs")
     labels = stage.cut(label_products(df))
