@@ -563,9 +563,9 @@ def label_products(df: DataFrame) -> DataFrame:
     """(listing_id, p1, p2) of every listing whose product can be told; equal (p1, p2) mean the same product.
 
     The label is a 128-bit hash of kind and variety, brand and content. Null, empty or unreadable names, contents or
-    brands leave out the listing (they tell no product); nothing else is left out. Repeated listings get the same
-    label; an empty table gives no rows; extra columns are ignored; names of any length are read whole. A seller's
-    article number outvotes a wording that only it contradicts.
+    brands leave out the listing (they tell no product), unless most readable listings of its article have one label;
+    nothing else is left out. Repeated listings get the same label; an empty table gives no rows; extra columns are
+    ignored; names of any length are read whole. A seller's article number outvotes a wording that only it contradicts.
     """
     stage = Stage(df.sparkSession, "products")
     parsed = _parse(df, stage)
@@ -578,8 +578,12 @@ def label_products(df: DataFrame) -> DataFrame:
     parts = ("kind", "tree", "brand", "content")
     labelled = stage.cut(keyed.select("listing_id", "article", F.when(told, F.xxhash64(*parts)).alias("p1"), F.when(told, F.xxhash64(*reversed(parts), F.lit(1))).alias("p2")))
     # the label that most of an article's listings have
-    votes = labelled.where("article is not null and p1 is not null").repartition("article").groupBy("article", "p1", "p2").count()
-    won = votes.groupBy("article").agg(F.max_by(F.struct("p1", "p2"), F.struct("count", "p1", "p2")).alias("voted"), F.count("*").alias("choices"), F.max("count").alias("most"), F.sum("count").alias("all"))
+    votes = labelled.where("article is not null").repartition("article").groupBy("article", "p1", "p2").count().withColumn("cast", F.when(F.col("p1").isNotNull(), F.col("count")))
+    won = votes.groupBy("article").agg(
+        F.max_by(F.struct("p1", "p2"), F.when(F.col("cast").isNotNull(), F.struct("cast", "p1", "p2"))).alias("voted"),
+        F.count("*").alias("choices"), F.max("cast").alias("most"), F.sum("cast").alias("all"),
+    )
+    # listings without a label are one more choice, without a vote
     outvoted = won.where((F.col("choices") > 1) & (2 * F.col("most") > F.col("all"))).select("article", "voted")
     voted = labelled.join(outvoted, "article", "left").select("listing_id", F.coalesce("voted.p1", "p1").alias("p1"), F.coalesce("voted.p2", "p2").alias("p2"))
     return voted.where(F.col("p1").isNotNull())

@@ -63,3 +63,12 @@ def test_odd_tables(spark):
     rows += [rows[0]] * 3 + [(1000, "z " * 20_000 + "1 kg", "z", None, None, float("nan"), "q", "", "", "", None, None), *nothing]
     labels = label_products(spark.createDataFrame(rows, COLUMNS)).collect()
     assert len({(r.p1, r.p2) for r in labels if r.listing_id == 0}) == 1 and len([r for r in labels if r.listing_id == 0]) == 4
+
+
+def test_an_article_labels_its_unreadable_listings(spark):
+    _, rows = market(n=300)
+    numbered = next(r for r in rows if r[2] and r[9])
+    alone = (9000, *numbered[1:8], "m", "only", "x", "y")
+    unread = [(9001, None, None, *numbered[3:8], "m", "only", "x", "y"), (9002, None, None, *numbered[3:8], "n", "only", "x", "y")]
+    labels = {r.listing_id: (r.p1, r.p2) for r in label_products(spark.createDataFrame([*rows, alone, *unread], COLUMNS)).collect()}
+    assert labels[9001] == labels[9000] == labels[numbered[0]] and 9002 not in labels
