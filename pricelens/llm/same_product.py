@@ -5,7 +5,8 @@
 2. Terms spread evenly over all basket items, that the listings of one article don't agree on, say nothing about a
    product (offers, packings) and are left out; what is left of a listing is its wording.
 3. Two wordings form a pair if some product wears both (a seller's article number comes back with either) or if they
-   differ by a term or so. Terms and pairs then weigh each other in turn: a pair scores the weight of its shared terms
+   differ by a term or so, or if their shared terms weigh enough: with the weights that the terms settle to, every pair
+   of a kind over the threshold is among the pairs. Terms and pairs weigh each other in turn: a pair scores the weight of its shared terms
    over that of all its terms, and a term weighs the mean score of the pairs that share it, less where pairs that do
    match lack it on one side. Pairs with article evidence keep their score. This runs until the weights stay.
    Within a kind of product a term counts by its rarity there, so that what all of the kind have tells nothing.
@@ -478,8 +479,32 @@ def _rewritten(sizes: DataFrame, evidence: DataFrame) -> DataFrame:
     return there.select("kind", F.least("wording", "other").alias("w1"), F.greatest("wording", "other").alias("w2")).distinct()
 
 
-def _pairs(worded: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """Pairs of wordings of one kind with their counts, differing terms and article evidence; rarity of terms in kinds."""
+def _over_threshold(sizes: DataFrame, rarity: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """(kind, w1, w2) of every two wordings of a kind that score THRESHOLD or more with these weights (1 where unknown).
+
+    A pair's score is at most its shared terms' mass over that of either side. With a kind's terms in one order, rarest
+    first, the first term that a pair over the threshold shares has, with those behind it, THRESHOLD of the mass of
+    either side; so it is enough to join on such terms, and frequent ones are among them only where there is no rarer.
+    """
+    split = sizes.select("kind", "wording", F.explode(F.array_distinct(F.split("wording", " "))).alias("term")).join(rarity, ["kind", "term"])
+    weight = F.lit(1.0) if weights is None else F.coalesce("weight", F.lit(1.0))
+    massed = (split if weights is None else split.join(weights, "term", "left")).withColumn("mass", weight * F.col("rarity"))
+    whole = Window.partitionBy("kind", "wording")
+    behind = F.sum("mass").over(whole.orderBy("rarity", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own = massed.select("kind", "wording", "term", "mass", F.sum("mass").over(whole).alias("all"), behind.alias("behind"))
+    least = THRESHOLD - 1e-9
+    asks = own.where(F.col("behind") >= least * F.col("all")).select("kind", "term", "wording", "all")
+    close = (F.col("w1") < F.col("w2")) & (F.least("all1", "all2") >= least * F.greatest("all1", "all2"))
+    met = asks.toDF("kind", "term", "w1", "all1").join(asks.toDF("kind", "term", "w2", "all2"), ["kind", "term"]).where(close).select("kind", "w1", "w2", "all1", "all2").distinct()
+    masses = own.groupBy("kind", "wording").agg(F.map_from_entries(F.collect_list(F.struct("term", "mass"))).alias("masses"))
+    held = met.join(masses.toDF("kind", "w1", "m1"), ["kind", "w1"]).join(masses.toDF("kind", "w2", "m2"), ["kind", "w2"])
+    shared = F.aggregate(F.map_values(F.map_filter("m1", lambda t, _: F.map_contains_key("m2", t))), F.lit(0.0), lambda x, m: x + m)
+    return held.withColumn("shared", shared).where(F.col("shared") >= least * (F.col("all1") + F.col("all2") - F.col("shared"))).select("kind", "w1", "w2")
+
+
+def _pairs(worded: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Wordings with their counts; rarity of terms in kinds; pairs of wordings of one kind, with their counts, differing
+    terms and article evidence, to start from."""
     sizes = stage.cut(worded.where("wording <> ''").groupBy("kind", "wording").count().withColumnRenamed("count", "n"))
     # an article's distinct wordings meet where the article's rows lie: one shuffle of two numbers a listing
     articles = worded.where("article is not null and wording <> ''").select("article", F.xxhash64("kind", "wording").alias("w")).repartition("article").distinct()
@@ -494,16 +519,32 @@ def _pairs(worded: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
     keyed = sizes.select("kind", "wording", F.explode(F.array_union(keys, F.array("wording"))).alias("key"))
     near = keyed.withColumnRenamed("wording", "w1").join(keyed.withColumnRenamed("wording", "w2"), ["kind", "key"]).where("w1 < w2").select("kind", "w1", "w2").distinct()
     rewritten = _rewritten(sizes, evidence)
-    both = near.union(rewritten).distinct().join(evidence.drop("difference"), ["kind", "w1", "w2"], "full").fillna({"articles": 0})
-    a, b = sizes.select("kind", F.col("wording").alias("w1"), F.col("n").alias("n1")), sizes.select("kind", F.col("wording").alias("w2"), F.col("n").alias("n2"))
     whole = sizes.groupBy("kind").agg(F.sum("n").alias("all"))
     having = sizes.select("kind", "n", F.explode(F.split("wording", " ")).alias("term")).groupBy("kind", "term").agg(F.sum("n").alias("having"))
     rarity = stage.cut(having.join(whole, "kind").select("kind", "term", F.greatest(F.log(F.col("all") / F.col("having")), F.lit(LEAST_RARITY)).alias("rarity")))
-    return rarity, stage.cut(both.join(a, ["kind", "w1"]).join(b, ["kind", "w2"]).withColumn("difference", _difference("w1", "w2")))
+    both = near.union(rewritten).union(_over_threshold(sizes, rarity, None)).distinct().join(evidence.drop("difference"), ["kind", "w1", "w2"], "full").fillna({"articles": 0})
+    return sizes, rarity, stage.cut(_counted(both, sizes))
+
+
+def _counted(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    a, b = sizes.select("kind", F.col("wording").alias("w1"), F.col("n").alias("n1")), sizes.select("kind", F.col("wording").alias("w2"), F.col("n").alias("n2"))
+    return pairs.join(a, ["kind", "w1"]).join(b, ["kind", "w2"]).withColumn("difference", _difference("w1", "w2"))
+
+
+def _settled(sizes: DataFrame, rarity: DataFrame, pairs: DataFrame, stage: Stage) -> DataFrame:
+    """Scores of the pairs, among them every pair of a kind that is over the threshold with the weights they settle to."""
+    weights = None
+    while True:  # pairs are only ever added
+        scored, weights = _reinforce(pairs, rarity, weights, stage)
+        missed = _over_threshold(sizes, rarity, weights).join(pairs, ["kind", "w1", "w2"], "left_anti").withColumn("articles", F.lit(0).cast("bigint"))
+        missed = stage.cut(_counted(missed, sizes))
+        if missed.isEmpty():
+            return scored
+        pairs = stage.cut(pairs.unionByName(missed))
 
 
-def _reinforce(pairs: DataFrame, rarity: DataFrame, stage: Stage) -> DataFrame:
-    """Scores of the pairs after term weights and scores have settled."""
+def _reinforce(pairs: DataFrame, rarity: DataFrame, known: DataFrame | None, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """Scores of the pairs, and weights, after these have settled; weights known before are what they start from."""
     # a difference that articles support in some kinds holds in all
     ways = pairs.groupBy("difference").agg(F.sum("articles").alias("support"), F.sum(F.least("n1", "n2")).alias("room"))
     supported = ways.where((F.col("support") >= LEAST_ARTICLES + 1) & (F.col("support") >= LEAST_SHARE * F.col("room"))).select("difference", F.lit(True).alias("usual"))
@@ -515,7 +556,8 @@ def _reinforce(pairs: DataFrame, rarity: DataFrame, stage: Stage) -> DataFrame:
         .join(rarity, ["kind", "term"])
         .select("pair", "certain", "term", "rarity", F.array_contains("common", F.col("term")).alias("shared"))
     )
-    weights = sides.select("term").distinct().withColumn("weight", F.lit(1.0))
+    weights = sides.select("term").distinct()
+    weights = weights.withColumn("weight", F.lit(1.0)) if known is None else weights.join(known, "term", "left").fillna(1.0, ["weight"])
     weights = stage.cut(weights)
     score_of = F.coalesce(F.try_divide(F.sum(F.when(F.col("shared"), F.col("weight") * F.col("rarity")).otherwise(0.0)), F.sum(F.col("weight") * F.col("rarity"))), F.lit(0.0))
     scores = None
@@ -534,7 +576,7 @@ def _reinforce(pairs: DataFrame, rarity: DataFrame, stage: Stage) -> DataFrame:
         if change is None or change < LEAST_CHANGE:
             break
     final = sides.join(weights, "term").groupBy("pair", "certain").agg(score_of.alias("s")).select("pair", F.when(F.col("certain"), 1.0).otherwise(F.col("s")).alias("score"))
-    return stage.cut(marked.join(final, "pair"))
+    return stage.cut(marked.join(final, "pair")), weights
 
 
 def _trees(scored: DataFrame, stage: Stage) -> DataFrame:
@@ -571,8 +613,8 @@ def label_products(df: DataFrame) -> DataFrame:
     parsed = _parse(df, stage)
     worded = _wordings(parsed, stage)
     stage.drop(parsed)
-    rarity, pairs = _pairs(worded, stage)
-    trees = _trees(_reinforce(pairs, rarity, stage), stage)
+    sizes, rarity, pairs = _pairs(worded, stage)
+    trees = _trees(_settled(sizes, rarity, pairs, stage), stage)
     keyed = worded.join(F.broadcast(trees) if trees.count() <= MOST_BROADCAST_WORDINGS else trees, ["kind", "wording"], "left").withColumn("tree", F.coalesce("root", "wording"))
     told = (F.col("tree") != "") & F.col("brand").isNotNull() & F.col("content").isNotNull()
     parts = ("kind", "tree", "brand", "content")

@@ -4,7 +4,8 @@ import zlib
 
 import pytest
 
-from pricelens.llm.same_product import content_in_name, label_products, product_pairs, words_of
+from pricelens.llm.same_product import THRESHOLD, _over_threshold, _pairs, content_in_name, label_products, product_pairs, words_of
+from pricelens.session import Stage
 
 COLUMNS = "listing_id bigint, name string, brand string, net_content string, unit string, size_std double, unit_family string, cba_name string, supermarket string, sku string, terms string, product string"
 
@@ -72,3 +73,31 @@ def test_an_article_labels_its_unreadable_listings(spark):
     unread = [(9001, None, None, *numbered[3:8], "m", "only", "x", "y"), (9002, None, None, *numbered[3:8], "n", "only", "x", "y")]
     labels = {r.listing_id: (r.p1, r.p2) for r in label_products(spark.createDataFrame([*rows, alone, *unread], COLUMNS)).collect()}
     assert labels[9001] == labels[9000] == labels[numbered[0]] and 9002 not in labels
+
+
+def test_every_pair_over_the_threshold_is_found(spark):
+    rng = random.Random(7)
+    terms = [f"t{i}" for i in range(14)]
+    worded = sorted({(k, " ".join(sorted({"kind", *rng.sample(terms, rng.randrange(0, 6))} - ({"kind"} if rng.random() < 0.4 else set())))) for k in ("a", "b") for _ in range(120)})
+    sizes = spark.createDataFrame([(k, w, 1) for k, w in worded if w], "kind string, wording string, n bigint")
+    rarity = {(k, t): 0.02 if t == "kind" else rng.uniform(0.5, 6) for k in ("a", "b") for t in ["kind", *terms]}
+    weight = {t: rng.choice([0.01, 0.3, 1.0]) for t in terms[:10]}
+
+    def mass(k, words):
+        return sum(rarity[k, t] * weight.get(t, 1.0) for t in words)
+
+    wanted = set()
+    for (k, x), (k2, y) in itertools.combinations([r for r in worded if r[1]], 2):
+        a, b = set(x.split()), set(y.split())
+        if k == k2 and mass(k, a & b) >= THRESHOLD * mass(k, a | b):
+            wanted.add((k, x, y))
+    rare = spark.createDataFrame([(*kt, r) for kt, r in rarity.items()], "kind string, term string, rarity double")
+    got = [tuple(r) for r in _over_threshold(sizes, rare, spark.createDataFrame(list(weight.items()), "term string, weight double")).collect()]
+    assert set(got) == wanted and len(got) == len(wanted) > 20
+
+
+def test_short_and_far_wordings_meet(spark):
+    rows = [(i, None, None, "", "", "k", w) for i, w in enumerate(["cafe molido"] * 50 + ["cafe suave"] * 50 + ["molido", "cafe bolsa suave zip"])]
+    worded = spark.createDataFrame(rows, "listing_id bigint, article bigint, content string, brand string, x string, kind string, wording string")
+    _, _, pairs = _pairs(worded, Stage(spark, "test"))
+    assert ("cafe molido", "molido") in {(r.w1, r.w2) for r in pairs.collect()}
