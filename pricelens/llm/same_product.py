@@ -2,31 +2,30 @@
 
 1. Each listing becomes its content in common units, its brand and a set of terms (misspelt words count as the frequent
    word one letter away; "sin", "con" and "en" stick to the word behind them).
-2. Terms spread evenly over all basket items, that the listings of one article don't agree on, say nothing about a
-   product (offers, packings) and are left out; what is left of a listing is its wording.
-3. Two wordings form a pair if some product wears both (a seller's article number comes back with either) or if they
-   differ by a term or so, or if their shared terms weigh enough: with the weights that the terms settle to, every pair
-   of a kind over the threshold is among the pairs. Terms and pairs weigh each other in turn: a pair scores the weight of its shared terms
-   over that of all its terms, and a term weighs the mean score of the pairs that share it, less where pairs that do
-   match lack it on one side. Pairs with article evidence keep their score. This runs until the weights stay.
-   Within a kind of product a term counts by its rarity there, so that what all of the kind have tells nothing.
+2. Terms that the listings of one item, brand and content don't agree on say nothing about a product (offers, packings,
+   slips) and are left out; what is left of a listing is its wording.
+3. Two wordings of a kind form a pair if they share enough of their terms or meet in a cell: a brand and content that
+   listings of both have. Pairs and what they share weigh each other in turn: a pair scores by the weight of the terms
+   and cells that it shares; a term or cell weighs the mean score of the pairs that share it, a term less where pairs
+   that do match lack it on one side, so that a cell of several products and a word that comes and goes count little.
+   This runs until the weights stay; every pair whose words are over the threshold with these weights is among the
+   pairs. Within a kind of product a term counts by its rarity there, so that what all of the kind have tells nothing.
 4. Pairs over the threshold link the rarer wording to its best commoner one; the trees are the kinds and varieties.
    Listings of one tree, brand and content are one product.
 
-All steps but the small vocabularies are Spark tables; wordings, not listings, are compared.
+All steps are Spark tables; wordings, not listings, are compared. Sellers' article numbers are not looked at, so that
+they can be held against the result.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,27 +35,23 @@ from pricelens.llm.encoding_repair import restore
 from pricelens.operators.quantities import whole_content
 from pricelens.session import Stage
 
-#: The commonest words (and brand words) known by heart; every rarer one is compared with these where it turns up.
-MOST_WORDS = 60_000
 #: A word is a slip of another if that one is a letter away and so many times commoner.
 SLIP_RATIO = 8
 #: Brands are rarer and more alike than words: a brand seen more than twice must be so many times rarer to be a slip.
 BRAND_SLIP_RATIO = 60
 #: A word of a name may be a misspelt brand if names have the brand so many times as often.
 WORD_RATIO = 20
-#: A term whose spread over basket items differs from that of all listings by less than this (in nats) is no attribute.
+#: A term is noise if its agreement within cells lies less than this far between chance (0) and certainty (1).
+LEAST_CONSTANT = 0.05
+#: Noise whose spread over basket items differs from that of all listings by less than this (in nats) is an offer or packing.
 EVEN_SPREAD = 0.33
-#: Unless another wording of the same article has it in more than this share of cases.
-MOST_CONSTANT = 0.5
-#: A partition's counts are handed on when there are so many different ones.
-MOST_CELLS = 500_000
-#: A term must occur so often to be judged.
-LEAST_SEEN = 8
-#: Least support of a pair of wordings by article numbers: so many articles, and such a share of the rarer wording.
-LEAST_ARTICLES, LEAST_SHARE = 2, 0.01
+#: What is known of so many words goes to all workers, of more by a join; more phrases of offers than this are an error.
+MOST_SENT_WORDS, MOST_PHRASES = 500_000, 100_000
 #: Least rarity of a term that its whole kind has.
 LEAST_RARITY = 0.02
-THRESHOLD, LEAST_CHANGE, MOST_ROUNDS = 0.8, 0.01, 8
+#: How many listings' worth the score of the words is when it meets the evidence of the cells.
+PRIOR_LISTINGS = 3.0
+THRESHOLD, LEAST_CHANGE, STEP = 0.6, 0.01, 0.8
 #: Trees of up to so many wordings go to the listings by broadcast, more by a join.
 MOST_BROADCAST_WORDINGS = 100_000
 
@@ -75,7 +70,6 @@ _PERCENT, _NUMBER, _FIRST = re.compile(r"(\d)\s?%"), re.compile(r"\bn[°º.]?\s?
 _INITIALS, _TIMES, _AND_A_HALF = re.compile(r"\b([a-z])\.\s?([a-z])\."), re.compile(r"(\d)\s?x\s?(?=\d|medi|cuarto|un\b)"), re.compile(r"\b(?:un )?(?:kilo|litro) y medio\b")
 _GLUED = re.compile(r"(\d)([a-z]+)\b")
 
-
 _PLAIN = {c: unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xC0, 0x180) if unicodedata.decomposition(chr(c))}
 
 
@@ -179,71 +173,41 @@ def content_in_name(name: str, family: str | None) -> str | None:
     return f"{best.dimension}:{best.quantity}" if best else None
 
 
-def _one_less(word: str) -> set[str]:
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
-
-
-class Vocabulary:
-    """Frequent words and the frequent word that a rarer one is a slip of."""
+_STICK = rf"\b({'|'.join(JOINED)}) (\S+)"
 
-    def __init__(self, counts: dict[str, int], least: int = 25, least_length: int = 4, ratio: int = SLIP_RATIO):
-        self.counts, self.least_length, self.ratio = counts, least_length, ratio
-        self.index: dict[str, list[str]] = defaultdict(list)
-        for word, n in counts.items():
-            if n >= least and len(word) >= least_length:
-                for key in _one_less(word):
-                    self.index[key].append(word)
-        self.known: dict[str, str] = {}
 
-    def canonical(self, word: str) -> str:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            own, found = self.counts.get(word, 1), word
-            if len(word) >= self.least_length and word.isalpha():
-                times = SLIP_RATIO if own <= 2 else self.ratio
-                near = {w for key in _one_less(word) for w in self.index.get(key, ()) if w != word and self.counts[w] >= times * own}
-                near = {w for w in near if letter_distance(word, w, 1) <= 1}
-                if near:
-                    found = max(near, key=lambda w: (self.counts[w], w))
-            self.known[word] = found
-        return found
+_RUN_TOGETHER = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _brand_words(brand: str | None) -> list[str]:
-    return [w for w in re.findall(r"[a-z]+", fold(brand or "")) if w not in BRAND_TITLES]
+    return [w for w in re.findall(r"[a-z]+", fold(_RUN_TOGETHER.sub(" ", brand or ""))) if w not in BRAND_TITLES]
 
 
-class Words(NamedTuple):
-    """What is known of words: counts, the basket items that they occur with, and which of them tell no product."""
+class Lexicon(NamedTuple):
+    """What is known of the words that a listing has; words that it lacks are terms as they stand."""
 
-    counts: dict[str, int]
-    items: dict[str, dict[str, int]]
-    totals: dict[str, int]
-    even: set[str]
-    phrases: set[tuple[str, str]]
+    spelling: dict[str, str]  # a misspelt word -> the word meant
+    brand_of: dict[str, str]  # a word of a name that is a brand -> that brand
+    brand_spelling: dict[str, str]  # a misspelt brand -> the brand meant
+    even: set[str]  # words of offers and packings
+    phrases: set[tuple[str, str]]  # words side by side, one of them even, that belong together
+    noise: set[str]  # terms that listings of one content and brand don't agree on
 
 
-def terms_of(words: Iterable[str], spelling: Vocabulary, brands: Vocabulary, in_names: dict[str, int], even: set[str], phrases: set[tuple[str, str]]) -> tuple[list[str], str | None]:
+def terms_of(words: Iterable[str], known: Lexicon) -> tuple[list[str], str | None]:
     """The terms of a name's words in order, and the first brand among them.
 
-    ``in_names`` has the brands and how often names have them. Words that tell no product are left out, and so are words
-    that stand beside one of these as a rule.
+    Words that tell no product are left out, and so are words that stand beside one of these as a rule.
     """
     canonical: list[str | None] = []
     brand = None
     for w in words:
-        b = w
-        if w not in in_names and len(w) >= 6:
-            b = brands.canonical(w)
-            if in_names.get(b, 0) < WORD_RATIO * spelling.counts.get(w, 1) and spelling.counts.get(w, 1) > 2:
-                b = w
-        if b in in_names:
+        b = known.brand_of.get(w)
+        if b is not None:
             brand = brand or b
             canonical.append(None)
         elif w not in FILLERS:
-            canonical.append(spelling.canonical(w))
+            canonical.append(known.spelling.get(w, w))
         elif w == "de":
             canonical.append(w)
     told: list[str | None] = []
@@ -253,7 +217,7 @@ def terms_of(words: Iterable[str], spelling: Vocabulary, brands: Vocabulary, in_
         if c is not None and c != "de":
             i += 1
             after_sticky = i > 0 and plain[i - 1] in JOINED
-            if (c in even and not after_sticky) or (i and (plain[i - 1], c) in phrases) or (i + 1 < len(plain) and (c, plain[i + 1]) in phrases):
+            if (c in known.even and not after_sticky) or (i and (plain[i - 1], c) in known.phrases) or (i + 1 < len(plain) and (c, plain[i + 1]) in known.phrases):
                 continue
         told.append(c)
     out: list[str] = []
@@ -278,22 +242,17 @@ def terms_of(words: Iterable[str], spelling: Vocabulary, brands: Vocabulary, in_
         elif t not in BRAND_TITLES and len(t) > 1:
             out.append(t)
         i += 1
-    return out, brand
+    return [t for t in out if t not in known.noise], brand
 
 
-def _base(term: str) -> str:
+def _base(term: Column) -> Column:
     """The word in a term that sticks to a preposition."""
-    return term.removeprefix("sin_").removeprefix("con_").removeprefix("en_").removesuffix("_free")
-
-
-def _counts(values: DataFrame, column: str, least: int) -> dict[str, int]:
-    counted = values.select(F.explode(F.split(column, " ")).alias("w")).where("w <> ''").groupBy("w").count().where(F.col("count") >= least)
-    return {r["w"]: r["count"] for r in counted.orderBy(F.desc("count"), "w").limit(MOST_WORDS).collect()}
+    return F.regexp_replace(term, r"^(?:sin|con|en)_|_free$", "")
 
 
 def _parse(df: DataFrame, stage: Stage) -> DataFrame:
     """Content, words and brand words of each listing."""
-    schema = "listing_id bigint, article bigint, item string, words string, brand_words string, content string"
+    schema = "listing_id bigint, item string, words string, brand_words string, content string"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -304,157 +263,174 @@ def _parse(df: DataFrame, stage: Stage) -> DataFrame:
                 words_out.append(" ".join(words_of(name)[0]))
                 brand_out.append(" ".join(_brand_words(brand)))
                 content_out.append(f"{got.dimension}:{got.quantity}" if got else content_in_name(repaired(name), family))
-            yield pd.DataFrame({"listing_id": b["listing_id"], "article": b["article"], "item": b["cba_name"], "words": words_out, "brand_words": brand_out, "content": content_out})
+            yield pd.DataFrame({"listing_id": b["listing_id"], "item": b["cba_name"], "words": words_out, "brand_words": brand_out, "content": content_out})
 
-    source = df.select(
-        F.col("listing_id").cast("bigint"), "name", "brand", "net_content", "unit", F.col("size_std").cast("double").alias("size_std"), "unit_family", "cba_name",
-        F.when((F.length(F.trim("sku")) > 0) & F.col("supermarket").isNotNull(), F.xxhash64("supermarket", F.trim("sku"))).alias("article"),
-    )
+    source = df.select(F.col("listing_id").cast("bigint"), "name", "brand", "net_content", "unit", F.col("size_std").cast("double").alias("size_std"), "unit_family", "cba_name")
     return stage.cut(source.mapInPandas(read, schema))
 
 
-_STICK = re.compile(rf"\b({'|'.join(JOINED)}) (\S+)")
+# what the words are: tables over all listings
 
 
-def _by_item(parsed: DataFrame) -> DataFrame:
-    """(term, item, n): listings by term and basket item, summed up within partitions first."""
+def _terms_in_cells(parsed: DataFrame, stage: Stage) -> DataFrame:
+    """(cell, item, term, k): listings with a term by basket item and cell, where a cell is an item, brand and content."""
+    cell = F.when(F.col("item").isNotNull() & (F.col("brand_words") != "") & F.col("content").isNotNull(), F.xxhash64("item", F.substring_index("brand_words", " ", 1), "content"))
+    terms = F.array_distinct(F.split(F.regexp_replace("words", _STICK, "$1_$2"), " "))
+    each = parsed.where("words <> ''").select(cell.alias("cell"), F.coalesce("item", F.lit("")).alias("item"), F.explode(terms).alias("term"))
+    return stage.cut(each.groupBy("cell", "item", "term").agg(F.count("*").alias("k")))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells: Counter[tuple[str, str]] = Counter()
-        for b in batches:
-            for item, text in zip(b["item"].tolist(), b["words"].tolist(), strict=True):
-                item = item or ""
-                cells.update([(t, item) for t in set(_STICK.sub(r"\1_\2", text).split())])
-            if len(cells) > MOST_CELLS:
-                yield _cells(cells, "term", "item")
-                cells.clear()
-        yield _cells(cells, "term", "item")
 
-    partial = parsed.select("item", "words").mapInPandas(count, "term string, item string, n bigint")
-    return partial.groupBy("term", "item").agg(F.sum("n").alias("n"))
+def _judged_terms(parsed: DataFrame, in_cells: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """(term, item, k) and (term, total, even, noise).
 
+    A term is noise if the listings of one cell share it hardly more often than any two do by chance: a variety comes
+    back with the next listing of the product, an offer, a packing or a slip doesn't. Noise that is spread evenly over all basket items is
+    the wording of an offer or a packing.
+    """
+    of_item = stage.cut(in_cells.groupBy("term", "item").agg(F.sum("k").alias("k")))
+    cell = F.when(F.col("item").isNotNull() & (F.col("brand_words") != "") & F.col("content").isNotNull(), F.xxhash64("item", F.substring_index("brand_words", " ", 1), "content"))
+    sizes = parsed.select(cell.alias("cell")).where("cell is not null").groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    shared = in_cells.where("cell is not null").join(sizes, "cell").groupBy("term").agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("same"), F.sum(F.col("k") * (F.col("n") - 1)).alias("chances"))
+    prior = parsed.groupBy(F.coalesce("item", F.lit("")).alias("item")).agg(F.count("*").alias("m"))
+    prior = prior.withColumn("p", F.col("m") / F.sum("m").over(Window.partitionBy(F.lit(1)))).select("item", "p")
+    totals = of_item.groupBy("term").agg(F.sum("k").alias("total"))
+    share = F.col("k") / F.col("total")
+    spread = of_item.join(totals, "term").join(prior, "item").groupBy("term", "total").agg((F.sum(share * F.log(share / F.col("p"))) - (F.count("*") - 1) / (2 * F.first("total"))).alias("spread"))
+    by_chance = F.least(F.lit(1.0), F.col("total") / F.col("listings"))
+    agreed = F.try_divide(F.col("same") - by_chance * F.col("chances"), (1 - by_chance) * F.col("chances"))
+    listings = parsed.agg(F.count("*").alias("listings"), F.lit(1).alias("one"))
+    judged = spread.join(shared, "term", "left").withColumn("one", F.lit(1)).join(listings, "one").withColumn("noise", F.coalesce(agreed < LEAST_CONSTANT, F.lit(False)))
+    function_words = F.col("term").isin([*STICKY, *FILLERS])
+    return of_item, stage.cut(judged.select("term", "total", (F.col("noise") & (F.col("spread") < EVEN_SPREAD) & ~function_words).alias("even"), (F.col("noise") & ~function_words).alias("noise")))
+
+
+def _slips(words: DataFrame, targets: DataFrame, least_length: int, often: Column) -> DataFrame:
+    """(w, meant): words (w, n) a letter away from a target (w, n) that is ``often`` times as common, the commonest."""
+
+    def keyed(counts: DataFrame) -> DataFrame:
+        plain = counts.where((F.length("w") >= least_length) & F.col("w").rlike("^[a-z]+$"))
+        cuts = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.col("w").substr(F.lit(1), i - 1), F.col("w").substr(i + 1, F.length("w"))))
+        return plain.select("w", "n", F.explode(F.array_distinct(F.concat(F.array("w"), cuts))).alias("key"))
+
+    near = keyed(words).join(keyed(targets).toDF("meant", "times", "key"), "key").where((F.col("w") != F.col("meant")) & (F.col("times") >= often * F.col("n")))
+    near = near.select("w", "meant", "times").distinct()
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[letter_distance(x, y, 1) <= 1 for x, y in zip(b["w"], b["meant"], strict=True)]]
+
+    return near.mapInPandas(close, near.schema).groupBy("w").agg(F.max_by("meant", F.struct("times", "meant")).alias("meant"))
+
+
+def _lexicon(parsed: DataFrame, judged: DataFrame, stage: Stage) -> tuple[DataFrame, set[tuple[str, str]]]:
+    """(w, spelling, brand, brand_spelling, even, noise) of every word that isn't a plain term, and the phrases."""
+    brands = stage.cut(parsed.where("brand_words <> ''").select(F.explode(F.split("brand_words", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
+    stems = judged.select(F.explode(F.array_distinct(F.array("term", _base(F.col("term"))))).alias("w"), "total").groupBy("w").agg(F.sum("total").alias("n"))
+    words = stage.cut(stems)
+    brand_slips = stage.cut(_slips(brands, brands, 5, F.when(F.col("n") <= 2, SLIP_RATIO).otherwise(BRAND_SLIP_RATIO)))
+    # a brand is no slip of another, and no word that names have far more often
+    own = brands.join(brand_slips, "w", "left_anti").where("length(w) > 3").join(words.withColumnRenamed("n", "in_names"), "w", "left")
+    known = stage.cut(own.where(F.col("n") * WORD_RATIO >= F.coalesce("in_names", F.lit(0))).select("w", F.greatest("n", F.coalesce("in_names", F.lit(1))).alias("n")))
+    others = words.join(known, "w", "left_anti")
+    as_brand = _slips(others.where("length(w) >= 6"), known, 5, F.when(F.col("n") <= 2, SLIP_RATIO).otherwise(WORD_RATIO)).withColumnRenamed("meant", "brand")
+    as_brand = known.select("w", F.col("w").alias("brand")).union(as_brand)
+    spelling = _slips(others, others, 4, F.lit(SLIP_RATIO)).withColumnRenamed("meant", "spelling")
+    flags = judged.where("noise").select(F.col("term").alias("w"), "even", "noise")
+    found = as_brand.join(spelling, "w", "full").join(brand_slips.withColumnRenamed("meant", "brand_spelling"), "w", "full").join(flags, "w", "full").fillna(False, ["even", "noise"])
+    info = stage.cut(found.select("w", "spelling", "brand", "brand_spelling", "even", "noise"))
+    # words that stand beside an even one as a rule belong to its phrase there
+    spoken = F.filter(F.split("words", " "), lambda w: ~w.isin(sorted(FILLERS)))
+    beside = parsed.select(spoken.alias("ws")).where("size(ws) > 1").select(F.explode(F.arrays_zip(F.expr("slice(ws, 1, size(ws) - 1)").alias("u"), F.expr("slice(ws, 2, size(ws) - 1)").alias("v"))).alias("x"))
+    beside = beside.groupBy(F.col("x.u").alias("u"), F.col("x.v").alias("v")).agg(F.count("*").alias("n"))
+    even = judged.where("even").select("term", "total")
+    one = even.select(F.col("term").alias("u"), F.col("total").alias("nu"))
+    two = even.select(F.col("term").alias("v"), F.col("total").alias("nv"))
+    mixed = beside.join(one, "u", "left").join(two, "v", "left").where(F.col("nu").isNull() != F.col("nv").isNull()).where(F.col("n") >= 0.3 * F.coalesce("nu", "nv"))
+    phrases = {(r["u"], r["v"]) for r in mixed.limit(MOST_PHRASES + 1).collect()}
+    if len(phrases) > MOST_PHRASES:
+        raise ValueError(f"the listings have more than {MOST_PHRASES} phrases of offers")
+    return info, phrases
+
+
+INFO = ["w", "spelling", "brand", "brand_spelling", "even", "noise"]
+
+
+def _as_lexicon(rows: Iterable[tuple], phrases: set[tuple[str, str]]) -> Lexicon:
+    known = Lexicon({}, {}, {}, set(), phrases, set())
+    for w, spelling, brand, brand_spelling, even, noise in rows:
+        if spelling:
+            known.spelling[w] = spelling
+        if brand:
+            known.brand_of[w] = brand
+        if brand_spelling:
+            known.brand_spelling[w] = brand_spelling
+        if even:
+            known.even.add(w)
+        if noise:
+            known.noise.add(w)
+    return known
+
+
+def _word(rows: Iterable[tuple[str, str]], known: Lexicon) -> Iterator[tuple[str, str | None]]:
+    """Wording and brand of each (words, brand words)."""
+    for text, brand_words in rows:
+        terms, in_name = terms_of(text.split(), known)
+        given = [known.brand_spelling.get(w, w) for w in brand_words.split()]
+        brand = next((w for w in given if w in known.brand_of), None) or in_name or max(given, key=len, default=None)
+        yield " ".join(sorted(set(terms))), brand
+
+
+def _wordings(parsed: DataFrame, info: DataFrame, phrases: set[tuple[str, str]], stage: Stage, most_sent: int = MOST_SENT_WORDS) -> DataFrame:
+    """Each listing's content, brand and wording (its attribute terms, sorted).
+
+    What is known of words goes to all workers if it is up to ``most_sent`` words; else each distinct text is joined
+    with what is known of its own words.
+    """
+    schema = "listing_id bigint, content string, name bigint, brand string, wording string"
+    columns = parsed.select("listing_id", "content", "words", "brand_words", F.xxhash64("words").alias("name"))
+    if info.count() <= most_sent:
+        shared = parsed.sparkSession.sparkContext.broadcast(([tuple(r) for r in info.select(*INFO).collect()], phrases))
 
-def _cells(cells: Counter, one: str, two: str) -> pd.DataFrame:
-    return pd.DataFrame([(a, b, n) for (a, b), n in cells.items()], columns=[one, two, "n"])
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = _as_lexicon(*shared.value)
+            for b in batches:
+                got = list(_word(zip(b["words"].tolist(), b["brand_words"].tolist(), strict=True), known))
+                yield pd.DataFrame({"listing_id": b["listing_id"], "content": b["content"], "name": b["name"], "brand": [x[1] for x in got], "wording": [x[0] for x in got]})
 
+        return stage.cut(columns.mapInPandas(work, schema))
 
-def _constant_terms(parsed: DataFrame, terms: set[str]) -> set[str]:
-    """Those of the words that the names of one article share more often than not: offers and packings change.
+    stuck = F.concat_ws(" ", "words", F.regexp_replace("words", _STICK, "$1_$2"), "brand_words")
+    texts = columns.select("words", "brand_words").distinct().withColumn("t", F.xxhash64("words", "brand_words"))
+    told = texts.select("t", F.explode(F.array_distinct(F.split(stuck, " "))).alias("w")).join(info, "w").groupBy("t").agg(F.collect_list(F.struct(*INFO)).alias("known"))
 
-    Which of the words a name has is written as the bits of a number, so that a listing sends three numbers to where
-    its article's listings meet; equal names count once.
-    """
-    constant: set[str] = set()
-    listed = sorted(terms)
-    for start in range(0, len(listed), 60):
-        some = listed[start : start + 60]
-        bit = {t: 1 << i for i, t in enumerate(some)}
+    def work_each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = []
+            for text, brand_words, rows in zip(b["words"], b["brand_words"], b["known"], strict=True):
+                lexicon = _as_lexicon([tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in (rows if rows is not None else [])], phrases)
+                got += _word([(text, brand_words)], lexicon)
+            yield pd.DataFrame({"words": b["words"], "brand_words": b["brand_words"], "brand": [x[1] for x in got], "wording": [x[0] for x in got]})
 
-        def mark(batches: Iterator[pd.DataFrame], bit: dict[str, int] = bit) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame({"article": b["article"], "h": b["h"], "bits": [sum({bit[w] for w in text.split() if w in bit}) for text in b["words"].tolist()]})
+    worded = texts.join(told, "t", "left").select("words", "brand_words", "known").mapInPandas(work_each, "words string, brand_words string, brand string, wording string")
+    return stage.cut(columns.join(worded, ["words", "brand_words"]).select("listing_id", "content", "name", "brand", "wording"))
 
-        marked = parsed.where("article is not null").select("article", F.xxhash64("words").alias("h"), "words").mapInPandas(mark, "article bigint, h bigint, bits bigint")
-        names = marked.repartition("article").groupBy("article", "h").agg(F.first("bits").alias("bits"))
-        # a name among n of its article: of each word it has, k names have it
-        several = names.withColumn("n", F.count("*").over(Window.partitionBy("article"))).where("n > 1 and bits <> 0")
-        each = several.select("article", "n", F.explode(F.filter(F.array(*[F.lit(i) for i in range(len(some))]), lambda i: F.getbit("bits", i) == 1)).alias("i"))
-        having = each.groupBy("article", "i", "n").agg(F.count("*").alias("k"))
-        shares = having.groupBy("i").agg((F.sum(F.col("k") * (F.col("k") - 1)) / F.sum(F.col("k") * (F.col("n") - 1))).alias("share"), F.count("*").alias("articles"))
-        constant |= {some[r["i"]] for r in shares.collect() if r["share"] >= MOST_CONSTANT and r["articles"] >= LEAST_SEEN}
-    return constant
 
+def _kinds(worded: DataFrame, of_item: DataFrame, judged: DataFrame, parsed: DataFrame, stage: Stage) -> DataFrame:
+    """(wording, n, kind): the basket item that a wording's terms speak for, or ''."""
+    wordings = stage.cut(worded.where("wording <> ''").groupBy("wording").agg(F.count("*").alias("n")))
+    totals = judged.select("term", "total")
+    each = wordings.select("wording", F.explode(F.split("wording", " ")).alias("t"))
+    spoken = each.join(totals.withColumnRenamed("term", "t"), "t", "left").select("wording", F.when(F.col("total").isNull(), _base(F.col("t"))).otherwise(F.col("t")).alias("term"))
+    prior = parsed.groupBy("item").agg(F.count("*").alias("m")).where("item is not null")
+    prior = prior.withColumn("p", F.col("m") / F.sum("m").over(Window.partitionBy(F.lit(1)))).select("item", "p")
+    words = spoken.groupBy("wording").agg(F.count("*").alias("words"))
+    says = spoken.join(of_item.where("item <> ''"), "term").join(prior, "item").groupBy("wording", "item", "p").agg(F.sum(F.log((F.col("k") + 0.5 * F.col("p")) / (0.5 * F.col("p")))).alias("gain"))
+    says = says.join(words, "wording").withColumn("says", F.col("gain") + F.col("words") * (F.log(F.lit(0.5)) + 0.5 * F.log("p")))
+    best = says.groupBy("wording").agg(F.max_by("item", F.struct("says", "item")).alias("kind"))
+    return stage.cut(wordings.join(best, "wording", "left").select("wording", "n", F.coalesce("kind", F.lit("")).alias("kind")))
 
-def _beside(parsed: DataFrame, even: set[str]) -> DataFrame:
-    """(u, v, n): how often two words, one of them even, stand side by side."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells: Counter[tuple[str, str]] = Counter()
-        for b in batches:
-            for text in b["words"].tolist():
-                plain = [w for w in text.split() if w not in FILLERS]
-                cells.update([(u, v) for u, v in zip(plain, plain[1:], strict=False) if u in even or v in even])
-            if len(cells) > MOST_CELLS:
-                yield _cells(cells, "u", "v")
-                cells.clear()
-        yield _cells(cells, "u", "v")
-
-    return parsed.select("words").mapInPandas(count, "u string, v string, n bigint").groupBy("u", "v").agg(F.sum("n").alias("n"))
-
-
-def _words(parsed: DataFrame) -> Words:
-    """Counts over all listings of words, of words by basket item, and of neighbours of even words."""
-    per_term = _by_item(parsed).groupBy("term").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("item", "n"))).alias("items")).where("total > 1")
-    per_term = per_term.withColumn("items", F.when(F.col("total") >= LEAST_SEEN, F.col("items")))
-    known = per_term.orderBy(F.desc("total"), "term").limit(MOST_WORDS).collect()
-    totals = {r["item"]: r["count"] for r in parsed.groupBy(F.coalesce("item", F.lit("")).alias("item")).count().orderBy(F.desc("count"), "item").limit(2_000).collect()}
-    everything = max(1, sum(totals.values()))
-    counts = {r["term"]: r["total"] for r in known}
-    for r in known:  # a word counts wherever it stands
-        if "_" in r["term"]:
-            word = r["term"].split("_", 1)[1]
-            counts[word] = counts.get(word, 0) + r["total"]
-    even: set[str] = set()
-    for r in known:
-        n = r["total"]
-        if n < LEAST_SEEN or r["term"] in STICKY or r["term"] in FILLERS or len(totals) <= 3:
-            continue
-        spread = sum(k / n * math.log((k / n) / (totals.get(i, 1) / everything)) for i, k in r["items"].items())
-        if spread - (len(r["items"]) - 1) / (2 * n) < EVEN_SPREAD:
-            even.add(r["term"])
-    even -= _constant_terms(parsed, even)
-    # words that stand beside an even one as a rule belong to its phrase there
-    phrases = set()
-    for r in _beside(parsed, even).where("n >= 20").orderBy(F.desc("n"), "u", "v").limit(MOST_WORDS).collect():
-        u, v, n = r["u"], r["v"], r["n"]
-        if (u in even) != (v in even) and n >= 0.3 * counts.get(u if u in even else v, n):
-            phrases.add((u, v))
-    return Words(counts, {r["term"]: dict(r["items"]) for r in known if r["total"] >= LEAST_SEEN and r["term"] not in even}, totals, even, phrases)
-
-
-def _wordings(parsed: DataFrame, stage: Stage) -> DataFrame:
-    """Each listing's brand, wording (its attribute terms, sorted) and the basket item that the terms speak for."""
-    words, brand_counts = _words(parsed), _counts(parsed, "brand_words", 1)
-    everything = max(1, sum(words.totals.values()))
-    prior = {i: n / everything for i, n in words.totals.items() if i}
-    likely = {w: {i: math.log((k + 0.5 * prior.get(i, 1e-9)) / (words.counts[w] + 0.5)) for i, k in items.items() if i} for w, items in words.items.items()}
-    shared = parsed.sparkSession.sparkContext.broadcast((words.counts, brand_counts, words.even, words.phrases, likely, prior))
-
-    def word(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, brand_counts, even, phrases, likely, prior = shared.value
-        brands = Vocabulary(brand_counts, least=3, least_length=5, ratio=BRAND_SLIP_RATIO)
-        in_names = {w: counts.get(w, 1) for w, n in brand_counts.items() if n >= 3 and brands.canonical(w) == w and len(w) > 3}
-        spelling = Vocabulary({w: n for w, n in counts.items() if w not in in_names})
-        kinds: dict[str, str] = {}
-
-        def kind(terms: list[str]) -> str:
-            judged = [w for w in (t if t in likely else _base(t) for t in terms) if w in likely]
-            candidates = {i for w in judged for i in likely[w]}
-            if not candidates:
-                return ""
-
-            def says(i: str) -> float:
-                p = prior.get(i, 1e-9)
-                return sum(likely[w].get(i, math.log(0.5 * p / (counts[w] + 0.5))) - 0.5 * math.log(p) for w in judged)
-
-            return max(sorted(candidates), key=says)
-
-        for b in batches:
-            wordings, of, brand = [], [], []
-            for text, brand_words in zip(b["words"].tolist(), b["brand_words"].tolist(), strict=True):
-                terms, in_name = terms_of(text.split(), spelling, brands, in_names, even, phrases)
-                wording = " ".join(sorted({t for t in terms if counts.get(_base(t), 0) >= LEAST_SEEN}))
-                if wording not in kinds:
-                    if len(kinds) > 300_000:
-                        kinds.clear()
-                    kinds[wording] = kind(wording.split())
-                wordings.append(wording)
-                of.append(kinds[wording])
-                given = [brands.canonical(w) for w in brand_words.split()]
-                brand.append(next((w for w in given if w in in_names), None) or in_name or max(given, key=len, default=None))
-            yield pd.DataFrame({**{c: b[c] for c in ("listing_id", "article", "content")}, "brand": brand, "kind": of, "wording": wordings})
-
-    return stage.cut(parsed.select("listing_id", "article", "content", "words", "brand_words").mapInPandas(word, "listing_id bigint, article bigint, content string, brand string, kind string, wording string"))
+# reinforcement
 
 
 def _difference(a: str, b: str) -> Column:
@@ -464,17 +440,17 @@ def _difference(a: str, b: str) -> Column:
     return F.concat_ws(" | ", F.least(one, two), F.greatest(one, two))
 
 
-def _rewritten(sizes: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Pairs of wordings, in any kind, that differ as wordings of one article do elsewhere."""
-    seen = evidence.groupBy("difference").agg(F.sum("articles").alias("support")).where(F.col("support") > LEAST_ARTICLES)
+def _rewritten(sizes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of wordings, in any kind, that differ as wordings of one cell do elsewhere."""
+    seen = pairs.select("difference").distinct()
     sides = F.split("difference", r" \| ")
     one, two = F.split(sides[0], " "), F.split(sides[1], " ")
-    ways = seen.where(F.size(sides) == 2).select(one.alias("old"), two.alias("new")).union(seen.where(F.size(sides) == 2).select(two.alias("old"), one.alias("new")))
+    ways = seen.select(one.alias("old"), two.alias("new")).union(seen.select(two.alias("old"), one.alias("new")))
     ways = ways.where((F.element_at("old", 1) != "") & (F.element_at("new", 1) != "")).withColumn("term", F.element_at("old", 1))
     worded = sizes.select("kind", "wording", F.split("wording", " ").alias("terms")).withColumn("term", F.explode("terms"))
     fits = F.size(F.array_except("old", "terms")) == 0
     other = F.array_join(F.array_sort(F.array_union(F.array_except("terms", "old"), F.col("new"))), " ")
-    made = worded.join(ways, "term").where(fits & (F.size(F.array_intersect("new", "terms")) == 0)).select("kind", "wording", other.alias("other"))
+    made = worded.join(ways, "term").where(fits & (F.size(F.array_intersect("new", "terms")) == 0)).select("kind", "wording", other.alias("other")).distinct()
     there = made.join(sizes.select("kind", F.col("wording").alias("other")), ["kind", "other"])
     return there.select("kind", F.least("wording", "other").alias("w1"), F.greatest("wording", "other").alias("w2")).distinct()
 
@@ -502,81 +478,131 @@ def _over_threshold(sizes: DataFrame, rarity: DataFrame, weights: DataFrame | No
     return held.withColumn("shared", shared).where(F.col("shared") >= least * (F.col("all1") + F.col("all2") - F.col("shared"))).select("kind", "w1", "w2")
 
 
-def _pairs(worded: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Wordings with their counts; rarity of terms in kinds; pairs of wordings of one kind, with their counts, differing
-    terms and article evidence, to start from."""
-    sizes = stage.cut(worded.where("wording <> ''").groupBy("kind", "wording").count().withColumnRenamed("count", "n"))
-    # an article's distinct wordings meet where the article's rows lie: one shuffle of two numbers a listing
-    articles = worded.where("article is not null and wording <> ''").select("article", F.xxhash64("kind", "wording").alias("w")).repartition("article").distinct()
-    together = articles.withColumnRenamed("w", "h1").join(articles.withColumnRenamed("w", "h2"), "article").where("h1 < h2").groupBy("h1", "h2").agg(F.count("*").alias("articles"))
-    named = sizes.select("kind", "wording", F.xxhash64("kind", "wording").alias("h"))
-    of_one = together.join(named.toDF("kind", "a", "h1"), "h1").join(named.toDF("kind2", "b", "h2"), "h2").where("kind = kind2")
-    evidence = of_one.select("kind", F.least("a", "b").alias("w1"), F.greatest("a", "b").alias("w2"), "articles").withColumn("difference", _difference("w1", "w2"))
-    evidence = stage.cut(evidence)
-    # wordings that are alike but for a term on either side share a key that lacks that term
-    terms = F.split("wording", " ")
-    keys = F.when(F.size(terms) > 2, F.transform(terms, lambda t: F.array_join(F.array_remove(terms, t), " "))).otherwise(F.array().cast("array<string>"))
-    keyed = sizes.select("kind", "wording", F.explode(F.array_union(keys, F.array("wording"))).alias("key"))
-    near = keyed.withColumnRenamed("wording", "w1").join(keyed.withColumnRenamed("wording", "w2"), ["kind", "key"]).where("w1 < w2").select("kind", "w1", "w2").distinct()
-    rewritten = _rewritten(sizes, evidence)
-    whole = sizes.groupBy("kind").agg(F.sum("n").alias("all"))
-    having = sizes.select("kind", "n", F.explode(F.split("wording", " ")).alias("term")).groupBy("kind", "term").agg(F.sum("n").alias("having"))
-    rarity = stage.cut(having.join(whole, "kind").select("kind", "term", F.greatest(F.log(F.col("all") / F.col("having")), F.lit(LEAST_RARITY)).alias("rarity")))
-    both = near.union(rewritten).union(_over_threshold(sizes, rarity, None)).distinct().join(evidence.drop("difference"), ["kind", "w1", "w2"], "full").fillna({"articles": 0})
-    return sizes, rarity, stage.cut(_counted(both, sizes))
+class Graph(NamedTuple):
+    """Pairs of wordings of one kind and what they share: terms, and the cells (brand and content) of their listings.
 
+    Cells that hold the same wordings as often are one node, ``cells`` of them. A listing meets any other of its cell
+    with equal chance, so that it counts once, however many there are.
+    """
 
-def _counted(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    pairs: DataFrame  # pair, kind, w1, w2, n1, n2, difference
+    shares: DataFrame  # pair, node, shared, mass, met, cells: a term with its rarity; or cells, and how many listings of the one wording meet the other there
+    stays: DataFrame  # kind, wording, node, twos, all: in these cells, listings that meet one of their own wording, and all
+    nodes: DataFrame  # node, own: in such a cell, listings that meet one of their own wording
+
+
+def _contexts(worded: DataFrame, kinds: DataFrame, stage: Stage) -> DataFrame:
+    """(kind, node, cells, n, wording, a): the wordings of each kind of cell that has two differing names or more."""
+    told = worded.where((F.col("wording") != "") & F.col("brand").isNotNull() & F.col("content").isNotNull())
+    names = told.groupBy("wording", "brand", "content", "name").agg(F.lit(1).alias("one"))  # an offer captured twice says nothing new
+    counted = names.groupBy("wording", "brand", "content").agg(F.count("*").alias("a")).join(kinds.select("wording", "kind"), "wording")
+    counted = stage.cut(counted.select("kind", "wording", "a", F.xxhash64("kind", "brand", "content").alias("cell")))
+    looks = counted.groupBy("kind", "cell").agg(F.sum("a").alias("n"), F.bit_xor(F.xxhash64("wording", "a")).alias("x"), F.bit_xor(F.xxhash64("a", "wording")).alias("y")).where("n > 1")
+    nodes = looks.groupBy(F.xxhash64("kind", "x", "y").alias("node")).agg(F.count("*").alias("cells"), F.min("cell").alias("cell"), F.min("n").alias("n"))
+    return stage.cut(counted.join(nodes, "cell").select(counted["kind"], "node", "cells", "n", "wording", "a"))
+
+
+def _graph(contexts: DataFrame, sizes: DataFrame, rarity: DataFrame, more: DataFrame | None, stage: Stage) -> Graph:
+    """The graph of every two wordings of a kind that meet in a cell, that differ as such a pair does, or that ``more`` has."""
+    sides = [contexts.select("kind", "node", "cells", "n", F.col("wording").alias(f"w{i}"), F.col("a").alias(f"a{i}")) for i in (1, 2)]
+    met = sides[0].join(sides[1].drop("cells", "n"), ["kind", "node"]).where("w1 < w2")
+    met = stage.cut(met.select(F.xxhash64("kind", "w1", "w2").alias("pair"), "kind", "w1", "w2", "node", "cells", (F.col("a1") * F.col("a2") / (F.col("n") - 1)).alias("ab")))
+    beside = met.select("kind", "w1", "w2").distinct()
+    candidates = beside.union(_rewritten(sizes, beside.withColumn("difference", _difference("w1", "w2"))))
+    candidates = (candidates if more is None else candidates.union(more)).distinct()
     a, b = sizes.select("kind", F.col("wording").alias("w1"), F.col("n").alias("n1")), sizes.select("kind", F.col("wording").alias("w2"), F.col("n").alias("n2"))
-    return pairs.join(a, ["kind", "w1"]).join(b, ["kind", "w2"]).withColumn("difference", _difference("w1", "w2"))
+    pairs = candidates.join(a, ["kind", "w1"]).join(b, ["kind", "w2"])
+    pairs = stage.cut(pairs.select(F.xxhash64("kind", "w1", "w2").alias("pair"), "kind", "w1", "w2", "n1", "n2", _difference("w1", "w2").alias("difference")))
+    x, y = F.split("w1", " "), F.split("w2", " ")
+    terms = pairs.select("pair", "kind", F.explode(F.array_union(x, y)).alias("term"), F.array_intersect(x, y).alias("common")).join(rarity, ["kind", "term"])
+    terms = terms.select("pair", F.xxhash64("term").alias("node"), F.array_contains("common", F.col("term")).alias("shared"), F.col("rarity").alias("mass"), F.lit(0.0).alias("met"), F.lit(0.0).alias("cells"))
+    cells = met.select("pair", "node", F.lit(True).alias("shared"), F.lit(0.0).alias("mass"), F.col("ab").alias("met"), F.col("cells").cast("double").alias("cells"))
+    shares = stage.cut(terms.union(cells))
+    stays = stage.cut(contexts.select("kind", "wording", "node", (F.col("cells") * F.col("a") * (F.col("a") - 1) / (F.col("n") - 1)).alias("twos"), (F.col("cells") * F.col("a")).cast("double").alias("all")))
+    own = contexts.groupBy("node").agg(F.sum(F.col("a") * (F.col("a") - 1) / (F.col("n") - 1)).alias("own"))
+    nodes = stage.cut(shares.select("node").distinct().join(own, "node", "full").fillna(0.0, ["own"]))
+    return Graph(pairs, shares, stays, nodes)
+
+
+def _scores(graph: Graph, weights: DataFrame) -> DataFrame:
+    """The pairs' scores, given the weights of terms and cells.
+
+    By its words a pair scores the weight of the shared terms over that of all its terms. By its cells it scores where
+    the number of listings of the rarer wording that meet the commoner one lies between what chance gives (0) and what
+    there were if they were of that wording, too, and met it as often as its own listings do (1). This is worth as many
+    listings as it takes to tell these two apart: cells that hold every wording tell nothing, however many they are. As
+    far as it is worth something the pair's own cells count, then those of all pairs of the same difference, then words.
+    """
+    weight = weights.select("node", "weight")
+    mass = F.col("weight") * F.col("mass")
+    by_words = F.coalesce(F.try_divide(F.sum(F.when(F.col("shared"), mass).otherwise(0.0)), F.sum(mass)), F.lit(0.0))
+    shares = graph.shares.join(weight, "node").groupBy("pair").agg(by_words.alias("words"), F.sum(F.col("cells") * F.col("weight") * F.col("met")).alias("met"))
+    stays = graph.stays.join(weight, "node").groupBy("kind", "wording").agg(F.sum(F.col("weight") * F.col("twos")).alias("stay"), F.sum(F.col("weight") * F.col("all")).alias("all"))
+    stays = stays.withColumn("part", F.col("all") / F.sum("all").over(Window.partitionBy("kind")))
+    one, two = stays.toDF("kind", "w1", "stay1", "all1", "part1"), stays.toDF("kind", "w2", "stay2", "all2", "part2")
+    known = graph.pairs.join(shares, "pair").join(one, ["kind", "w1"], "left").join(two, ["kind", "w2"], "left")
+    first = F.col("n1") >= F.col("n2")
+    alike = F.when(first, F.try_divide(F.col("all2") * F.col("stay1"), F.col("all1"))).otherwise(F.try_divide(F.col("all1") * F.col("stay2"), F.col("all2")))
+    chance = F.when(first, F.col("all2") * F.col("part1")).otherwise(F.col("all1") * F.col("part2"))
+    known = known.withColumn("alike", alike).withColumn("chance", chance).withColumn("lead", F.col("alike") - F.col("chance"))
+    told = known.withColumn("worth", F.when(F.col("lead") > 0, F.col("lead") * F.col("lead") / F.col("alike")).otherwise(0.0))
+    told = told.withColumn("gain", F.when(F.col("lead") > 0, (F.col("met") - F.col("chance")) * F.col("lead") / F.col("alike")).otherwise(0.0))
+    told = told.select(*graph.pairs.columns, "words", "met", "alike", "chance", "worth", "gain")
+
+    def share(gain: Column, worth: Column, prior: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (gain + PRIOR_LISTINGS * prior) / (worth + PRIOR_LISTINGS)))
+
+    usual = told.groupBy("difference").agg(share(F.sum("gain"), F.sum("worth"), F.avg("words")).alias("usual"))
+    return told.join(usual, "difference").withColumn("score", share(F.col("gain"), F.col("worth"), F.col("usual")))
+
+
+def _weights(graph: Graph, scores: DataFrame, old: DataFrame) -> DataFrame:
+    """(node, own, weight, change): a term weighs the mean score of the pairs that share it, less where pairs that match
+    lack it on one side; a cell weighs the mean score of two of its listings. Each moves most of the way, so that none
+    swings."""
+    is_cell = F.col("cells") > 0
+    good = F.when(is_cell, 2 * F.col("met") * F.col("score")).when(F.col("shared"), F.col("score")).otherwise(0.0)
+    whole = F.when(is_cell, 2 * F.col("met")).when(F.col("shared"), 1.0).otherwise(F.col("score"))
+    sums = graph.shares.join(scores, "pair").groupBy("node").agg(F.sum(good).alias("good"), F.sum(whole).alias("whole"))
+    fresh = F.greatest(F.coalesce(F.try_divide(F.coalesce("good", F.lit(0.0)) + F.col("own"), F.coalesce("whole", F.lit(0.0)) + F.col("own")), F.lit(0.0)), F.lit(0.01))
+    known = old.join(sums, "node", "left").withColumn("fresh", fresh)
+    return known.select("node", "own", (F.col("weight") + STEP * (F.col("fresh") - F.col("weight"))).alias("weight"), F.abs(F.col("fresh") - F.col("weight")).alias("change"))
+
+
+def _settled(graph: Graph, known: DataFrame | None, stage: Stage) -> tuple[DataFrame, DataFrame, int]:
+    """Scores and weights after these have settled, and the rounds it took; ``known`` weights are what they start from."""
+    nodes = graph.nodes
+    weights = nodes.withColumn("weight", F.lit(1.0)) if known is None else nodes.join(known.select("node", "weight"), "node", "left").fillna(1.0, ["weight"])
+    weights, rounds = stage.cut(weights), 0
+    while True:
+        rounds += 1
+        scores, seen = stage.cut(_scores(graph, weights).select("pair", "score")), Observation()
+        fresh = stage.cut(_weights(graph, scores, weights).observe(seen, F.max("change").alias("change")))
+        stage.drop(weights, scores)
+        weights, change = fresh, seen.get["change"]
+        if change is None or change < LEAST_CHANGE:
+            return stage.cut(_scores(graph, weights)), weights, rounds
+
 
+def _rarity(sizes: DataFrame, stage: Stage) -> DataFrame:
+    """(kind, term, rarity): what all of a kind have tells nothing."""
+    whole = sizes.groupBy("kind").agg(F.sum("n").alias("all"))
+    having = sizes.select("kind", "n", F.explode(F.split("wording", " ")).alias("term")).groupBy("kind", "term").agg(F.sum("n").alias("having"))
+    return stage.cut(having.join(whole, "kind").select("kind", "term", F.greatest(F.log(F.col("all") / F.col("having")), F.lit(LEAST_RARITY)).alias("rarity")))
 
-def _settled(sizes: DataFrame, rarity: DataFrame, pairs: DataFrame, stage: Stage) -> DataFrame:
-    """Scores of the pairs, among them every pair of a kind that is over the threshold with the weights they settle to."""
-    weights = None
+
+def _linked(worded: DataFrame, sizes: DataFrame, stage: Stage) -> DataFrame:
+    """Scores of the pairs, among them every pair of a kind whose words are over the threshold with the settled weights."""
+    rarity, contexts = _rarity(sizes, stage), _contexts(worded, sizes, stage)
+    more, weights = stage.cut(_over_threshold(sizes, rarity, None)), None
     while True:  # pairs are only ever added
-        scored, weights = _reinforce(pairs, rarity, weights, stage)
-        missed = _over_threshold(sizes, rarity, weights).join(pairs, ["kind", "w1", "w2"], "left_anti").withColumn("articles", F.lit(0).cast("bigint"))
-        missed = stage.cut(_counted(missed, sizes))
+        graph = _graph(contexts, sizes, rarity, more, stage)
+        scored, weights, _ = _settled(graph, weights, stage)
+        by_term = rarity.select("term").distinct().select("term", F.xxhash64("term").alias("node")).join(weights.select("node", "weight"), "node").select("term", "weight")
+        missed = stage.cut(_over_threshold(sizes, rarity, by_term).join(graph.pairs, ["kind", "w1", "w2"], "left_anti"))
         if missed.isEmpty():
             return scored
-        pairs = stage.cut(pairs.unionByName(missed))
-
-
-def _reinforce(pairs: DataFrame, rarity: DataFrame, known: DataFrame | None, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """Scores of the pairs, and weights, after these have settled; weights known before are what they start from."""
-    # a difference that articles support in some kinds holds in all
-    ways = pairs.groupBy("difference").agg(F.sum("articles").alias("support"), F.sum(F.least("n1", "n2")).alias("room"))
-    supported = ways.where((F.col("support") >= LEAST_ARTICLES + 1) & (F.col("support") >= LEAST_SHARE * F.col("room"))).select("difference", F.lit(True).alias("usual"))
-    certain = ((F.col("articles") >= LEAST_ARTICLES) & (F.col("articles") >= LEAST_SHARE * F.least("n1", "n2"))) | F.coalesce("usual", F.lit(False))
-    marked = stage.cut(pairs.join(supported, "difference", "left").withColumn("certain", certain).drop("usual").withColumn("pair", F.xxhash64("kind", "w1", "w2")))
-    x, y = F.split("w1", " "), F.split("w2", " ")
-    sides = stage.cut(
-        marked.select("pair", "kind", "certain", F.explode(F.array_union(x, y)).alias("term"), F.array_intersect(x, y).alias("common"))
-        .join(rarity, ["kind", "term"])
-        .select("pair", "certain", "term", "rarity", F.array_contains("common", F.col("term")).alias("shared"))
-    )
-    weights = sides.select("term").distinct()
-    weights = weights.withColumn("weight", F.lit(1.0)) if known is None else weights.join(known, "term", "left").fillna(1.0, ["weight"])
-    weights = stage.cut(weights)
-    score_of = F.coalesce(F.try_divide(F.sum(F.when(F.col("shared"), F.col("weight") * F.col("rarity")).otherwise(0.0)), F.sum(F.col("weight") * F.col("rarity"))), F.lit(0.0))
-    scores = None
-    for _ in range(MOST_ROUNDS):
-        scored = sides.join(weights, "term").groupBy("pair", "certain").agg(score_of.alias("s"))
-        scores = scored.select("pair", F.when(F.col("certain"), 1.0).otherwise(F.col("s")).alias("score"))
-        fresh = sides.join(scores, "pair").groupBy("term").agg(
-            F.coalesce(
-                F.try_divide(F.sum(F.when(F.col("shared"), F.col("score")).otherwise(0.0)), F.sum(F.when(F.col("shared"), 1.0).otherwise(F.col("score")))), F.lit(0.0)
-            ).alias("w")
-        )
-        fresh = stage.cut(fresh.select("term", F.greatest("w", F.lit(0.01)).alias("weight")))
-        change = fresh.join(weights.withColumnRenamed("weight", "old"), "term").agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
-        stage.drop(weights)
-        weights = fresh
-        if change is None or change < LEAST_CHANGE:
-            break
-    final = sides.join(weights, "term").groupBy("pair", "certain").agg(score_of.alias("s")).select("pair", F.when(F.col("certain"), 1.0).otherwise(F.col("s")).alias("score"))
-    return stage.cut(marked.join(final, "pair")), weights
+        more = stage.cut(more.union(missed))
 
 
 def _trees(scored: DataFrame, stage: Stage) -> DataFrame:
@@ -587,7 +613,7 @@ def _trees(scored: DataFrame, stage: Stage) -> DataFrame:
         "kind",
         F.when(first_rarer, F.col("w1")).otherwise(F.col("w2")).alias("wording"),
         F.when(first_rarer, F.col("w2")).otherwise(F.col("w1")).alias("up"),
-        F.struct(F.round("score", 2), "articles", F.greatest("n1", "n2"), F.when(first_rarer, F.col("w2")).otherwise(F.col("w1"))).alias("best"),
+        F.struct(F.round("score", 1), "worth", F.greatest("n1", "n2"), F.when(first_rarer, F.col("w2")).otherwise(F.col("w1"))).alias("best"),
     )
     parents = stage.cut(up.groupBy("kind", "wording").agg(F.max_by("up", "best").alias("root")))
     while True:  # each round halves the height
@@ -605,30 +631,24 @@ def label_products(df: DataFrame) -> DataFrame:
     """(listing_id, p1, p2) of every listing whose product can be told; equal (p1, p2) mean the same product.
 
     The label is a 128-bit hash of kind and variety, brand and content. Null, empty or unreadable names, contents or
-    brands leave out the listing (they tell no product), unless most readable listings of its article have one label;
-    nothing else is left out. Repeated listings get the same label; an empty table gives no rows; extra columns are
-    ignored; names of any length are read whole. A seller's article number outvotes a wording that only it contradicts.
+    brands leave out the listing (they tell no product); nothing else is left out. Repeated listings get the same label;
+    an empty table gives no rows; extra columns, the sellers' article numbers among them, are ignored; names of any
+    length are read whole.
     """
     stage = Stage(df.sparkSession, "products")
     parsed = _parse(df, stage)
-    worded = _wordings(parsed, stage)
-    stage.drop(parsed)
-    sizes, rarity, pairs = _pairs(worded, stage)
-    trees = _trees(_settled(sizes, rarity, pairs, stage), stage)
-    keyed = worded.join(F.broadcast(trees) if trees.count() <= MOST_BROADCAST_WORDINGS else trees, ["kind", "wording"], "left").withColumn("tree", F.coalesce("root", "wording"))
-    told = (F.col("tree") != "") & F.col("brand").isNotNull() & F.col("content").isNotNull()
+    in_cells = _terms_in_cells(parsed, stage)
+    of_item, judged = _judged_terms(parsed, in_cells, stage)
+    info, phrases = _lexicon(parsed, judged, stage)
+    worded = _wordings(parsed, info, phrases, stage)
+    sizes = _kinds(worded, of_item, judged, parsed, stage)
+    trees = _trees(_linked(worded, sizes, stage), stage)
+    stage.drop(parsed, in_cells)
+    roots = stage.cut(sizes.join(trees, ["kind", "wording"], "left").select("wording", "kind", F.coalesce("root", "wording").alias("tree")))
+    keyed = worded.where((F.col("wording") != "") & F.col("brand").isNotNull() & F.col("content").isNotNull())
+    keyed = keyed.join(F.broadcast(roots) if roots.count() <= MOST_BROADCAST_WORDINGS else roots, "wording")
     parts = ("kind", "tree", "brand", "content")
-    labelled = stage.cut(keyed.select("listing_id", "article", F.when(told, F.xxhash64(*parts)).alias("p1"), F.when(told, F.xxhash64(*reversed(parts), F.lit(1))).alias("p2")))
-    # the label that most of an article's listings have
-    votes = labelled.where("article is not null").repartition("article").groupBy("article", "p1", "p2").count().withColumn("cast", F.when(F.col("p1").isNotNull(), F.col("count")))
-    won = votes.groupBy("article").agg(
-        F.max_by(F.struct("p1", "p2"), F.when(F.col("cast").isNotNull(), F.struct("cast", "p1", "p2"))).alias("voted"),
-        F.count("*").alias("choices"), F.max("cast").alias("most"), F.sum("cast").alias("all"),
-    )
-    # listings without a label are one more choice, without a vote
-    outvoted = won.where((F.col("choices") > 1) & (2 * F.col("most") > F.col("all"))).select("article", "voted")
-    voted = labelled.join(outvoted, "article", "left").select("listing_id", F.coalesce("voted.p1", "p1").alias("p1"), F.coalesce("voted.p2", "p2").alias("p2"))
-    return voted.where(F.col("p1").isNotNull())
+    return keyed.select("listing_id", F.xxhash64(*parts).alias("p1"), F.xxhash64(*reversed(parts), F.lit(1)).alias("p2"))
 
 
 def product_pairs(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from pricelens.llm.same_product import THRESHOLD, _over_threshold, _pairs, content_in_name, label_products, product_pairs, words_of
+from pricelens.llm.same_product import LEAST_CHANGE, THRESHOLD, _graph, _over_threshold, _settled, _wordings, content_in_name, label_products, product_pairs, words_of
 from pricelens.session import Stage
 
 COLUMNS = "listing_id bigint, name string, brand string, net_content string, unit string, size_std double, unit_family string, cba_name string, supermarket string, sku string, terms string, product string"
@@ -26,18 +26,19 @@ def test_content_in_name(name, content):
     assert content_in_name(name, None) == content
 
 
-def market(seed=4, n=1500):
-    """Listings of products made up of kind, variety, brand and content, in many wordings."""
+def market(seed=4, n=1500, each=6, dense=False):
+    """Listings of products made up of kind, variety, brand and content, in many wordings; ``dense``: of every product."""
     rng = random.Random(seed)
     kinds = {f"item {k}": k for k in ["arroz", "pimenton", "ketchup", "galleta", "queso crema", "atun"]}
     varieties = {"integral": ["integral", "int."], "organico": ["organico", "org."], "clasico": ["clasico"], "picante": ["picante"]}
-    brands = ["vozodeze", "novibeti", "gacokoze", "devifazi", "kevecoke"]
+    brands = ["".join(rng.choice("bcdfgklmnpstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(5 if dense else 40)]
     offers = ["oferta", "super ahorro", "lleva mas", "imperdible", "recien llegado", "", ""]
+    products = [(rng.choice(sorted(kinds)), rng.choice(sorted(varieties)), rng.choice(brands), rng.choice([250, 500, 1000])) for _ in range(n // each)]
     truth, rows = {}, []
     for i in range(n):
-        item, variety, brand, grams = rng.choice(sorted(kinds)), rng.choice(sorted(varieties)), rng.choice(brands), rng.choice([250, 500, 1000])
+        item, variety, brand, grams = rng.choice(products)
         size = rng.choice([f"{grams} g", f"{grams / 1000:g} kg".replace(".", ","), f"{grams}gr."])
-        parts = [kinds[item], rng.choice(varieties[variety]), rng.choice([brand, brand.upper(), f"Don {brand}"])]
+        parts = [kinds[item], varieties[variety][0] if dense else rng.choice(varieties[variety]), rng.choice([brand, brand.upper(), f"Don {brand}"])]
         rng.shuffle(parts)
         name = " ".join([*parts, rng.choice(["bolsa", "caja", "", ""]), size, rng.choice(offers)])
         key = (item, variety, brand, grams)
@@ -47,8 +48,10 @@ def market(seed=4, n=1500):
     return truth, rows
 
 
-def test_pairs_of_a_market(spark):
-    truth, rows = market()
+@pytest.mark.parametrize("dense", [False, True])
+def test_pairs_of_a_market(spark, dense):
+    """Where every brand has every variety in every size, cells tell nothing and mustn't join what words keep apart."""
+    truth, rows = market(dense=dense)
     got = {tuple(r) for r in product_pairs(spark.createDataFrame(rows, COLUMNS)).collect()}
     wanted = {(a, b) for a, b in itertools.combinations(sorted(truth), 2) if truth[a] == truth[b]}
     right = len(got & wanted)
@@ -66,13 +69,22 @@ def test_odd_tables(spark):
     assert len({(r.p1, r.p2) for r in labels if r.listing_id == 0}) == 1 and len([r for r in labels if r.listing_id == 0]) == 4
 
 
-def test_an_article_labels_its_unreadable_listings(spark):
+def test_article_numbers_are_not_looked_at(spark):
     _, rows = market(n=300)
-    numbered = next(r for r in rows if r[2] and r[9])
-    alone = (9000, *numbered[1:8], "m", "only", "x", "y")
-    unread = [(9001, None, None, *numbered[3:8], "m", "only", "x", "y"), (9002, None, None, *numbered[3:8], "n", "only", "x", "y")]
-    labels = {r.listing_id: (r.p1, r.p2) for r in label_products(spark.createDataFrame([*rows, alone, *unread], COLUMNS)).collect()}
-    assert labels[9001] == labels[9000] == labels[numbered[0]] and 9002 not in labels
+    unnumbered = [(*r[:9], None, *r[10:]) for r in rows]
+    one, two = ({tuple(r) for r in label_products(spark.createDataFrame(x, COLUMNS)).collect()} for x in (rows, unnumbered))
+    assert one == two and len(one) > 250
+
+
+def test_words_known_by_join_give_the_same(spark):
+    info = spark.createDataFrame(
+        [("arozz", "arroz", None, None, False, False), ("kibo", None, "kibo", None, False, False), ("kibbo", None, "kibo", "kibo", False, False), ("oferta", None, None, None, True, True), ("con_tapa", None, None, None, False, True)],
+        "w string, spelling string, brand string, brand_spelling string, even boolean, noise boolean",
+    )
+    texts = [("arozz integral kibo oferta", ""), ("arroz con tapa", "kibbo"), ("", ""), ("arozz integral kibo oferta", "otra")]
+    parsed = spark.createDataFrame([(i, None, w, b, "mass:1") for i, (w, b) in enumerate(texts)], "listing_id bigint, item string, words string, brand_words string, content string")
+    sent, joined = ({tuple(r) for r in _wordings(parsed, info, set(), Stage(spark, "test"), most).select("listing_id", "brand", "wording", "content", "name").collect()} for most in (100, 0))
+    assert sent == joined and {(r[0], r[1], r[2]) for r in sent} == {(0, "kibo", "arroz integral"), (1, "kibo", "arroz"), (2, None, ""), (3, "kibo", "arroz integral")}
 
 
 def test_every_pair_over_the_threshold_is_found(spark):
@@ -96,8 +108,21 @@ def test_every_pair_over_the_threshold_is_found(spark):
     assert set(got) == wanted and len(got) == len(wanted) > 20
 
 
-def test_short_and_far_wordings_meet(spark):
-    rows = [(i, None, None, "", "", "k", w) for i, w in enumerate(["cafe molido"] * 50 + ["cafe suave"] * 50 + ["molido", "cafe bolsa suave zip"])]
-    worded = spark.createDataFrame(rows, "listing_id bigint, article bigint, content string, brand string, x string, kind string, wording string")
-    _, _, pairs = _pairs(worded, Stage(spark, "test"))
-    assert ("cafe molido", "molido") in {(r.w1, r.w2) for r in pairs.collect()}
+def test_reinforcement_settles_and_tells_varieties_from_spellings(spark):
+    """Wordings that come and go within cells are one, those that keep to their own cells aren't, whatever the words."""
+    stage = Stage(spark, "test")
+    rng = random.Random(3)
+    cells = []
+    for i in range(60):
+        variety = [["int", "integral"], ["organico", "org"], ["blanco"]][i % 3]
+        cells += [("k", i, w) for w in (rng.choice(variety) for _ in range(4))]
+    contexts = [(k, n, 1, 4, w, sum(1 for c in cells if c[1] == n and c[2] == w)) for k, n, w in sorted(set(cells))]
+    contexts = spark.createDataFrame(contexts, "kind string, node bigint, cells bigint, n bigint, wording string, a bigint")
+    sizes = spark.createDataFrame([("k", w, 10) for w in ("int", "integral", "organico", "org", "blanco")], "kind string, wording string, n bigint")
+    rarity = spark.createDataFrame([("k", w, 1.0) for w in ("int", "integral", "organico", "org", "blanco")], "kind string, term string, rarity double")
+    more = spark.createDataFrame([("k", "blanco", "integral"), ("k", "int", "org")], "kind string, w1 string, w2 string")
+    scored, weights, rounds = _settled(_graph(contexts, sizes, rarity, more, stage), None, stage)
+    score = {(r.w1, r.w2): r.score for r in scored.collect()}
+    assert score["int", "integral"] > THRESHOLD and score["org", "organico"] > THRESHOLD
+    assert score["int", "org"] < 0.2 and score["blanco", "integral"] < 0.2
+    assert rounds > 1 and weights.where(f"change >= {LEAST_CHANGE}").count() == 0
