@@ -489,14 +489,18 @@ class Graph(NamedTuple):
     shares: DataFrame  # pair, node, shared, mass, met, cells: a term with its rarity; or cells, and how many listings of the one wording meet the other there
     stays: DataFrame  # kind, wording, node, twos, all: in these cells, listings that meet one of their own wording, and all
     nodes: DataFrame  # node, own: in such a cell, listings that meet one of their own wording
+    small: bool  # pairs and nodes are few enough to be sent to all workers
+
+    def sent(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.small else df
 
 
 def _contexts(worded: DataFrame, kinds: DataFrame, stage: Stage) -> DataFrame:
     """(kind, node, cells, n, wording, a): the wordings of each kind of cell that has two differing names or more."""
     told = worded.where((F.col("wording") != "") & F.col("brand").isNotNull() & F.col("content").isNotNull())
-    names = told.groupBy("wording", "brand", "content", "name").agg(F.lit(1).alias("one"))  # an offer captured twice says nothing new
-    counted = names.groupBy("wording", "brand", "content").agg(F.count("*").alias("a")).join(kinds.select("wording", "kind"), "wording")
-    counted = stage.cut(counted.select("kind", "wording", "a", F.xxhash64("kind", "brand", "content").alias("cell")))
+    told = told.select("wording", F.xxhash64("brand", "content").alias("of"), "name").distinct()  # an offer captured twice says nothing new
+    counted = told.groupBy("wording", "of").agg(F.count("*").alias("a")).join(kinds.select("wording", "kind"), "wording")
+    counted = stage.cut(counted.select("kind", "wording", "a", F.xxhash64("kind", "of").alias("cell")))
     looks = counted.groupBy("kind", "cell").agg(F.sum("a").alias("n"), F.bit_xor(F.xxhash64("wording", "a")).alias("x"), F.bit_xor(F.xxhash64("a", "wording")).alias("y")).where("n > 1")
     nodes = looks.groupBy(F.xxhash64("kind", "x", "y").alias("node")).agg(F.count("*").alias("cells"), F.min("cell").alias("cell"), F.min("n").alias("n"))
     return stage.cut(counted.join(nodes, "cell").select(counted["kind"], "node", "cells", "n", "wording", "a"))
@@ -521,7 +525,7 @@ def _graph(contexts: DataFrame, sizes: DataFrame, rarity: DataFrame, more: DataF
     stays = stage.cut(contexts.select("kind", "wording", "node", (F.col("cells") * F.col("a") * (F.col("a") - 1) / (F.col("n") - 1)).alias("twos"), (F.col("cells") * F.col("a")).cast("double").alias("all")))
     own = contexts.groupBy("node").agg(F.sum(F.col("a") * (F.col("a") - 1) / (F.col("n") - 1)).alias("own"))
     nodes = stage.cut(shares.select("node").distinct().join(own, "node", "full").fillna(0.0, ["own"]))
-    return Graph(pairs, shares, stays, nodes)
+    return Graph(pairs, shares, stays, nodes, max(pairs.count(), nodes.count()) <= MOST_BROADCAST_WORDINGS)
 
 
 def _scores(graph: Graph, weights: DataFrame) -> DataFrame:
@@ -536,11 +540,11 @@ def _scores(graph: Graph, weights: DataFrame) -> DataFrame:
     weight = weights.select("node", "weight")
     mass = F.col("weight") * F.col("mass")
     by_words = F.coalesce(F.try_divide(F.sum(F.when(F.col("shared"), mass).otherwise(0.0)), F.sum(mass)), F.lit(0.0))
-    shares = graph.shares.join(weight, "node").groupBy("pair").agg(by_words.alias("words"), F.sum(F.col("cells") * F.col("weight") * F.col("met")).alias("met"))
-    stays = graph.stays.join(weight, "node").groupBy("kind", "wording").agg(F.sum(F.col("weight") * F.col("twos")).alias("stay"), F.sum(F.col("weight") * F.col("all")).alias("all"))
+    shares = graph.shares.join(graph.sent(weight), "node").groupBy("pair").agg(by_words.alias("words"), F.sum(F.col("cells") * F.col("weight") * F.col("met")).alias("met"))
+    stays = graph.stays.join(graph.sent(weight), "node").groupBy("kind", "wording").agg(F.sum(F.col("weight") * F.col("twos")).alias("stay"), F.sum(F.col("weight") * F.col("all")).alias("all"))
     stays = stays.withColumn("part", F.col("all") / F.sum("all").over(Window.partitionBy("kind")))
     one, two = stays.toDF("kind", "w1", "stay1", "all1", "part1"), stays.toDF("kind", "w2", "stay2", "all2", "part2")
-    known = graph.pairs.join(shares, "pair").join(one, ["kind", "w1"], "left").join(two, ["kind", "w2"], "left")
+    known = graph.pairs.join(graph.sent(shares), "pair").join(graph.sent(one), ["kind", "w1"], "left").join(graph.sent(two), ["kind", "w2"], "left")
     first = F.col("n1") >= F.col("n2")
     alike = F.when(first, F.try_divide(F.col("all2") * F.col("stay1"), F.col("all1"))).otherwise(F.try_divide(F.col("all1") * F.col("stay2"), F.col("all2")))
     chance = F.when(first, F.col("all2") * F.col("part1")).otherwise(F.col("all1") * F.col("part2"))
@@ -553,7 +557,7 @@ def _scores(graph: Graph, weights: DataFrame) -> DataFrame:
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (gain + PRIOR_LISTINGS * prior) / (worth + PRIOR_LISTINGS)))
 
     usual = told.groupBy("difference").agg(share(F.sum("gain"), F.sum("worth"), F.avg("words")).alias("usual"))
-    return told.join(usual, "difference").withColumn("score", share(F.col("gain"), F.col("worth"), F.col("usual")))
+    return told.join(graph.sent(usual), "difference").withColumn("score", share(F.col("gain"), F.col("worth"), F.col("usual")))
 
 
 def _weights(graph: Graph, scores: DataFrame, old: DataFrame) -> DataFrame:
@@ -563,17 +567,15 @@ def _weights(graph: Graph, scores: DataFrame, old: DataFrame) -> DataFrame:
     is_cell = F.col("cells") > 0
     good = F.when(is_cell, 2 * F.col("met") * F.col("score")).when(F.col("shared"), F.col("score")).otherwise(0.0)
     whole = F.when(is_cell, 2 * F.col("met")).when(F.col("shared"), 1.0).otherwise(F.col("score"))
-    sums = graph.shares.join(scores, "pair").groupBy("node").agg(F.sum(good).alias("good"), F.sum(whole).alias("whole"))
+    sums = graph.shares.join(graph.sent(scores), "pair").groupBy("node").agg(F.sum(good).alias("good"), F.sum(whole).alias("whole"))
     fresh = F.greatest(F.coalesce(F.try_divide(F.coalesce("good", F.lit(0.0)) + F.col("own"), F.coalesce("whole", F.lit(0.0)) + F.col("own")), F.lit(0.0)), F.lit(0.01))
-    known = old.join(sums, "node", "left").withColumn("fresh", fresh)
+    known = old.join(graph.sent(sums), "node", "left").withColumn("fresh", fresh)
     return known.select("node", "own", (F.col("weight") + STEP * (F.col("fresh") - F.col("weight"))).alias("weight"), F.abs(F.col("fresh") - F.col("weight")).alias("change"))
 
 
-def _settled(graph: Graph, known: DataFrame | None, stage: Stage) -> tuple[DataFrame, DataFrame, int]:
-    """Scores and weights after these have settled, and the rounds it took; ``known`` weights are what they start from."""
-    nodes = graph.nodes
-    weights = nodes.withColumn("weight", F.lit(1.0)) if known is None else nodes.join(known.select("node", "weight"), "node", "left").fillna(1.0, ["weight"])
-    weights, rounds = stage.cut(weights), 0
+def _settled(graph: Graph, stage: Stage) -> tuple[DataFrame, int]:
+    """The weights after these have settled, and the rounds it took."""
+    weights, rounds = stage.cut(graph.nodes.withColumn("weight", F.lit(1.0))), 0
     while True:
         rounds += 1
         scores, seen = stage.cut(_scores(graph, weights).select("pair", "score")), Observation()
@@ -581,7 +583,7 @@ def _settled(graph: Graph, known: DataFrame | None, stage: Stage) -> tuple[DataF
         stage.drop(weights, scores)
         weights, change = fresh, seen.get["change"]
         if change is None or change < LEAST_CHANGE:
-            return stage.cut(_scores(graph, weights)), weights, rounds
+            return weights, rounds
 
 
 def _rarity(sizes: DataFrame, stage: Stage) -> DataFrame:
@@ -594,15 +596,12 @@ def _rarity(sizes: DataFrame, stage: Stage) -> DataFrame:
 def _linked(worded: DataFrame, sizes: DataFrame, stage: Stage) -> DataFrame:
     """Scores of the pairs, among them every pair of a kind whose words are over the threshold with the settled weights."""
     rarity, contexts = _rarity(sizes, stage), _contexts(worded, sizes, stage)
-    more, weights = stage.cut(_over_threshold(sizes, rarity, None)), None
-    while True:  # pairs are only ever added
-        graph = _graph(contexts, sizes, rarity, more, stage)
-        scored, weights, _ = _settled(graph, weights, stage)
-        by_term = rarity.select("term").distinct().select("term", F.xxhash64("term").alias("node")).join(weights.select("node", "weight"), "node").select("term", "weight")
-        missed = stage.cut(_over_threshold(sizes, rarity, by_term).join(graph.pairs, ["kind", "w1", "w2"], "left_anti"))
-        if missed.isEmpty():
-            return scored
-        more = stage.cut(more.union(missed))
+    near = stage.cut(_over_threshold(sizes, rarity, None))
+    weights, _ = _settled(_graph(contexts, sizes, rarity, near, stage), stage)
+    by_term = rarity.select("term").distinct().select("term", F.xxhash64("term").alias("node")).join(weights.select("node", "weight"), "node").select("term", "weight")
+    graph = _graph(contexts, sizes, rarity, near.union(_over_threshold(sizes, rarity, by_term)), stage)
+    known = graph.nodes.join(weights.select("node", "weight"), "node", "left").fillna(1.0, ["weight"])
+    return stage.cut(_scores(graph, known))
 
 
 def _trees(scored: DataFrame, stage: Stage) -> DataFrame:
