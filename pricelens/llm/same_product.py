@@ -272,25 +272,33 @@ def _parse(df: DataFrame, stage: Stage) -> DataFrame:
 # what the words are: tables over all listings
 
 
-def _terms_in_cells(parsed: DataFrame, stage: Stage) -> DataFrame:
-    """(cell, item, term, k): listings with a term by basket item and cell, where a cell is an item, brand and content."""
-    cell = F.when(F.col("item").isNotNull() & (F.col("brand_words") != "") & F.col("content").isNotNull(), F.xxhash64("item", F.substring_index("brand_words", " ", 1), "content"))
-    terms = F.array_distinct(F.split(F.regexp_replace("words", _STICK, "$1_$2"), " "))
-    each = parsed.where("words <> ''").select(cell.alias("cell"), F.coalesce("item", F.lit("")).alias("item"), F.explode(terms).alias("term"))
-    return stage.cut(each.groupBy("cell", "item", "term").agg(F.count("*").alias("k")))
+def _cell() -> Column:
+    """A hash of item, brand and content, null where one of these is."""
+    return F.when(F.col("item").isNotNull() & (F.col("brand_words") != "") & F.col("content").isNotNull(), F.xxhash64("item", F.substring_index("brand_words", " ", 1), "content"))
 
 
-def _judged_terms(parsed: DataFrame, in_cells: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+def _stuck_terms() -> Column:
+    """The distinct terms of a name's words."""
+    padded = F.concat(F.lit(" "), F.col("words"))
+    sticky = F.contains(padded, F.lit(f" {JOINED[0]} "))
+    for word in JOINED[1:]:
+        sticky = sticky | F.contains(padded, F.lit(f" {word} "))
+    return F.array_distinct(F.split(F.when(sticky, F.regexp_replace("words", _STICK, "$1_$2")).otherwise(F.col("words")), " "))
+
+
+def _judged_terms(parsed: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
     """(term, item, k) and (term, total, even, noise).
 
     A term is noise if the listings of one cell share it hardly more often than any two do by chance: a variety comes
     back with the next listing of the product, an offer, a packing or a slip doesn't. Noise that is spread evenly over all basket items is
     the wording of an offer or a packing.
     """
-    of_item = stage.cut(in_cells.groupBy("term", "item").agg(F.sum("k").alias("k")))
-    cell = F.when(F.col("item").isNotNull() & (F.col("brand_words") != "") & F.col("content").isNotNull(), F.xxhash64("item", F.substring_index("brand_words", " ", 1), "content"))
-    sizes = parsed.select(cell.alias("cell")).where("cell is not null").groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = in_cells.where("cell is not null").join(sizes, "cell").groupBy("term").agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("same"), F.sum(F.col("k") * (F.col("n") - 1)).alias("chances"))
+    told = parsed.where("words <> ''")
+    # few items and words: sums within partitions first
+    of_item = stage.cut(told.select(F.coalesce("item", F.lit("")).alias("item"), F.explode(_stuck_terms()).alias("term")).groupBy("term", "item").agg(F.count("*").alias("k")))
+    in_cells = told.select(_cell().alias("cell"), F.explode(_stuck_terms()).alias("term")).where("cell is not null").groupBy("cell", "term").agg(F.count("*").alias("k"))
+    sizes = parsed.select(_cell().alias("cell")).where("cell is not null").groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    shared = in_cells.join(sizes, "cell").groupBy("term").agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("same"), F.sum(F.col("k") * (F.col("n") - 1)).alias("chances"))
     prior = parsed.groupBy(F.coalesce("item", F.lit("")).alias("item")).agg(F.count("*").alias("m"))
     prior = prior.withColumn("p", F.col("m") / F.sum("m").over(Window.partitionBy(F.lit(1)))).select("item", "p")
     totals = of_item.groupBy("term").agg(F.sum("k").alias("total"))
@@ -339,7 +347,7 @@ def _lexicon(parsed: DataFrame, judged: DataFrame, stage: Stage) -> tuple[DataFr
     found = as_brand.join(spelling, "w", "full").join(brand_slips.withColumnRenamed("meant", "brand_spelling"), "w", "full").join(flags, "w", "full").fillna(False, ["even", "noise"])
     info = stage.cut(found.select("w", "spelling", "brand", "brand_spelling", "even", "noise"))
     # words that stand beside an even one as a rule belong to its phrase there
-    spoken = F.filter(F.split("words", " "), lambda w: ~w.isin(sorted(FILLERS)))
+    spoken = F.array_except(F.split("words", " "), F.array(*[F.lit(w) for w in sorted(FILLERS)]))
     beside = parsed.select(spoken.alias("ws")).where("size(ws) > 1").select(F.explode(F.arrays_zip(F.expr("slice(ws, 1, size(ws) - 1)").alias("u"), F.expr("slice(ws, 2, size(ws) - 1)").alias("v"))).alias("x"))
     beside = beside.groupBy(F.col("x.u").alias("u"), F.col("x.v").alias("v")).agg(F.count("*").alias("n"))
     even = judged.where("even").select("term", "total")
@@ -636,13 +644,12 @@ def label_products(df: DataFrame) -> DataFrame:
     """
     stage = Stage(df.sparkSession, "products")
     parsed = _parse(df, stage)
-    in_cells = _terms_in_cells(parsed, stage)
-    of_item, judged = _judged_terms(parsed, in_cells, stage)
+    of_item, judged = _judged_terms(parsed, stage)
     info, phrases = _lexicon(parsed, judged, stage)
     worded = _wordings(parsed, info, phrases, stage)
     sizes = _kinds(worded, of_item, judged, parsed, stage)
     trees = _trees(_linked(worded, sizes, stage), stage)
-    stage.drop(parsed, in_cells)
+    stage.drop(parsed)
     roots = stage.cut(sizes.join(trees, ["kind", "wording"], "left").select("wording", "kind", F.coalesce("root", "wording").alias("tree")))
     keyed = worded.where((F.col("wording") != "") & F.col("brand").isNotNull() & F.col("content").isNotNull())
     keyed = keyed.join(F.broadcast(roots) if roots.count() <= MOST_BROADCAST_WORDINGS else roots, "wording")
