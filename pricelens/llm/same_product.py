@@ -51,7 +51,7 @@ MOST_SENT_WORDS, MOST_PHRASES = 500_000, 100_000
 LEAST_RARITY = 0.02
 #: How many listings' worth the score of the words is when it meets the evidence of the cells.
 PRIOR_LISTINGS = 3.0
-THRESHOLD, LEAST_CHANGE, STEP = 0.6, 0.01, 0.8
+THRESHOLD, LEAST_CHANGE, STEP = 0.6, 0.01, 1.0
 #: Trees of up to so many wordings go to the listings by broadcast, more by a join.
 MOST_BROADCAST_WORDINGS = 100_000
 
@@ -514,14 +514,18 @@ def _contexts(worded: DataFrame, kinds: DataFrame, stage: Stage) -> DataFrame:
     return stage.cut(counted.join(nodes, "cell").select(counted["kind"], "node", "cells", "n", "wording", "a"))
 
 
-def _graph(contexts: DataFrame, sizes: DataFrame, rarity: DataFrame, more: DataFrame | None, stage: Stage) -> Graph:
-    """The graph of every two wordings of a kind that meet in a cell, that differ as such a pair does, or that ``more`` has."""
+def _meetings(contexts: DataFrame, sizes: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """Where which wordings meet, and (kind, w1, w2) of every two that meet in a cell or differ as such a pair does."""
     sides = [contexts.select("kind", "node", "cells", "n", F.col("wording").alias(f"w{i}"), F.col("a").alias(f"a{i}")) for i in (1, 2)]
     met = sides[0].join(sides[1].drop("cells", "n"), ["kind", "node"]).where("w1 < w2")
     met = stage.cut(met.select(F.xxhash64("kind", "w1", "w2").alias("pair"), "kind", "w1", "w2", "node", "cells", (F.col("a1") * F.col("a2") / (F.col("n") - 1)).alias("ab")))
     beside = met.select("kind", "w1", "w2").distinct()
-    candidates = beside.union(_rewritten(sizes, beside.withColumn("difference", _difference("w1", "w2"))))
-    candidates = (candidates if more is None else candidates.union(more)).distinct()
+    beside = stage.cut(beside)
+    return met, stage.cut(beside.union(_rewritten(sizes, beside.withColumn("difference", _difference("w1", "w2")))).distinct())
+
+
+def _graph(contexts: DataFrame, met: DataFrame, candidates: DataFrame, sizes: DataFrame, rarity: DataFrame, stage: Stage) -> Graph:
+    """The graph of the candidates (kind, w1, w2), which hold all pairs that meet."""
     a, b = sizes.select("kind", F.col("wording").alias("w1"), F.col("n").alias("n1")), sizes.select("kind", F.col("wording").alias("w2"), F.col("n").alias("n2"))
     pairs = candidates.join(a, ["kind", "w1"]).join(b, ["kind", "w2"])
     pairs = stage.cut(pairs.select(F.xxhash64("kind", "w1", "w2").alias("pair"), "kind", "w1", "w2", "n1", "n2", _difference("w1", "w2").alias("difference")))
@@ -605,11 +609,16 @@ def _linked(worded: DataFrame, sizes: DataFrame, stage: Stage) -> DataFrame:
     """Scores of the pairs, among them every pair of a kind whose words are over the threshold with the settled weights."""
     rarity, contexts = _rarity(sizes, stage), _contexts(worded, sizes, stage)
     near = stage.cut(_over_threshold(sizes, rarity, None))
-    weights, _ = _settled(_graph(contexts, sizes, rarity, near, stage), stage)
+    met, candidates = _meetings(contexts, sizes, stage)
+    candidates = candidates.union(near).distinct()
+    graph = _graph(contexts, met, candidates, sizes, rarity, stage)
+    weights, _ = _settled(graph, stage)
     by_term = rarity.select("term").distinct().select("term", F.xxhash64("term").alias("node")).join(weights.select("node", "weight"), "node").select("term", "weight")
-    graph = _graph(contexts, sizes, rarity, near.union(_over_threshold(sizes, rarity, by_term)), stage)
-    known = graph.nodes.join(weights.select("node", "weight"), "node", "left").fillna(1.0, ["weight"])
-    return stage.cut(_scores(graph, known))
+    missed = stage.cut(_over_threshold(sizes, rarity, by_term).join(candidates, ["kind", "w1", "w2"], "left_anti"))
+    if not missed.isEmpty():
+        graph = _graph(contexts, met, candidates.union(missed), sizes, rarity, stage)
+        weights = graph.nodes.join(weights.select("node", "weight"), "node", "left").fillna(1.0, ["weight"])
+    return stage.cut(_scores(graph, weights))
 
 
 def _trees(scored: DataFrame, stage: Stage) -> DataFrame:

@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from pricelens.llm.same_product import LEAST_CHANGE, THRESHOLD, _graph, _over_threshold, _scores, _settled, _wordings, content_in_name, label_products, product_pairs, words_of
+from pricelens.llm.same_product import LEAST_CHANGE, THRESHOLD, _graph, _meetings, _over_threshold, _scores, _settled, _wordings, content_in_name, label_products, product_pairs, words_of
 from pricelens.session import Stage
 
 COLUMNS = "listing_id bigint, name string, brand string, net_content string, unit string, size_std double, unit_family string, cba_name string, supermarket string, sku string, terms string, product string"
@@ -121,7 +121,8 @@ def test_reinforcement_settles_and_tells_varieties_from_spellings(spark):
     sizes = spark.createDataFrame([("k", w, 10) for w in ("int", "integral", "organico", "org", "blanco")], "kind string, wording string, n bigint")
     rarity = spark.createDataFrame([("k", w, 1.0) for w in ("int", "integral", "organico", "org", "blanco")], "kind string, term string, rarity double")
     more = spark.createDataFrame([("k", "blanco", "integral"), ("k", "int", "org")], "kind string, w1 string, w2 string")
-    graph = _graph(contexts, sizes, rarity, more, stage)
+    met, candidates = _meetings(contexts, sizes, stage)
+    graph = _graph(contexts, met, candidates.union(more).distinct(), sizes, rarity, stage)
     weights, rounds = _settled(graph, stage)
     score = {(r.w1, r.w2): r.score for r in _scores(graph, weights).collect()}
     joined = {(r.w1, r.w2): r.score for r in _scores(graph._replace(small=False), weights).collect()}
