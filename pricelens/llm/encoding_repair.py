@@ -24,7 +24,6 @@ STEP_PRICE = 0.7
 SWITCH_PRICE = 1.6
 #: Price of a word with accents that the lexicon lacks, and of an accented letter in a word that it holds.
 UNKNOWN_WORD, KNOWN_WORD_LETTER = 0.4, 0.1
-MOST_EXPANSIONS = 120
 #: So many of the corpus's commonest accented words make up the lexicon.
 LEXICON_SIZE = 5_000
 #: A character of this cost or more can't belong to the original text.
@@ -210,43 +209,94 @@ def _suspicious_words(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def search(text: str, lexicon: frozenset[str] = frozenset()) -> tuple[str, list[str]]:
-    """The cheapest text that steps lead to, and the steps' names."""
+def _explore(text: str, lexicon: frozenset[str]) -> tuple[float, str, list[str]]:
+    """The cheapest text that steps on all suspicious words at once lead to: its cost, the text and the steps' names.
+
+    Cheapest first; a state whose steps alone cost as much as the best text so far can't lead to a better one, and no
+    text is expanded twice, so that the search ends by itself.
+    """
     start_cost = text_cost(text, lexicon) + (5.0 if _ESCAPES.search(text) else 0.0)
     best: tuple[float, str, list[str]] = (start_cost, text, [])
     tick = 0
     queue: list[tuple[float, int, str, list[str], float]] = [(start_cost, tick, text, [], 0.0)]
     visited = {hash(text)}
-    expanded = 0
-    while queue and expanded < MOST_EXPANSIONS:
+    while queue:
         _, _, state, path, spent = heapq.heappop(queue)
-        expanded += 1
         spans = _suspicious_words(state)
-        # no later text can be cheaper than the steps that lead to it
         if not spans or spent + STEP_PRICE >= best[0]:
             continue
         for name, step in STEPS.items():
-            reached = set()
             pieces, at = [], 0
             for a, b in spans:
-                word = state[a:b]
-                changed = step(word)
-                pieces += [state[at:a], changed]
+                pieces += [state[at:a], step(state[a:b])]
                 at = b
-                if changed != word and len(spans) > 1:
-                    reached.add(state[:a] + changed + state[b:])
-            reached.add("".join([*pieces, state[at:]]))
-            for new in reached:
-                if new == state or hash(new) in visited:
-                    continue
-                visited.add(hash(new))
-                paid = spent + (STEP_PRICE if not path or path[-1] == name else SWITCH_PRICE)
-                total = text_cost(new, lexicon) + (5.0 if _ESCAPES.search(new) else 0.0) + paid
-                tick += 1
-                if total < best[0] - 1e-9:
-                    best = (total, new, [*path, name])
-                heapq.heappush(queue, (total, tick, new, [*path, name], paid))
-    return best[1], best[2]
+            new = "".join([*pieces, state[at:]])
+            if hash(new) in visited:
+                continue
+            visited.add(hash(new))
+            paid = spent + (STEP_PRICE if not path or path[-1] == name else SWITCH_PRICE)
+            total = text_cost(new, lexicon) + (5.0 if _ESCAPES.search(new) else 0.0) + paid
+            tick += 1
+            if total < best[0] - 1e-9:
+                best = (total, new, [*path, name])
+            heapq.heappush(queue, (total, tick, new, [*path, name], paid))
+    return best
+
+
+def _word_by_word(text: str, lexicon: frozenset[str]) -> tuple[float, str, list[str]]:
+    """The same for each suspicious word by itself: damage may be of several kinds, but each is local."""
+    pieces, at, path = [], 0, []
+    for a, b in _suspicious_words(text):
+        _, found, steps = _explore(text[a:b], lexicon)
+        pieces += [text[at:a], found]
+        path += [n for n in steps if n not in path]
+        at = b
+    out = "".join([*pieces, text[at:]])
+    paid = STEP_PRICE + SWITCH_PRICE * (len(path) - 1) if path else 0.0
+    return text_cost(out, lexicon) + (5.0 if _ESCAPES.search(out) else 0.0) + paid, out, path
+
+
+def search(text: str, lexicon: frozenset[str] = frozenset()) -> tuple[str, list[str]]:
+    """The cheapest text that steps lead to, and the steps' names: of all words at once, then of what is left, word by
+    word; or word by word from the start."""
+    cost, found, path = _explore(text, lexicon)
+    if len(_suspicious_words(found)) > 0 and len(text.split()) > 1:
+        rest_cost, rest, more = _word_by_word(found, lexicon)
+        if more and rest_cost + STEP_PRICE * len(path) < cost - 1e-9:
+            cost, found, path = rest_cost + STEP_PRICE * len(path), rest, [*path, *more]
+        apart_cost, apart, steps = _word_by_word(text, lexicon)
+        if apart_cost < cost - 1e-9:
+            found, path = apart, steps
+    return found, path
+
+
+#: What only wrong decoding leaves: control codes, frames, and symbols behind the letters that lead two bytes.
+_RESIDUE = re.compile("[\x80-\x9f\u2500-\u259f]|[\xc2\xc3\xe2][\xa0-\xbf\u20ac\u201a\u0192\u201e\u2020\u2021\u02c6\u2030\u2039\u2018-\u201d\u2022\u2013\u2014\u02dc\u2122\u203a]")
+#: Marks that are right between letters.
+_BETWEEN_LETTERS = set("\u2019\u2018\u00b7\u2010\u2011\u2013\u2014\u2026\u00ad\u200d\u200c\u00b0\u00ba\u00aa\u20ac\u00ae\u2122\u00a9\u00ab\u00bb\u201c\u201d\u00d7\u00bd\u00bc\u00be")
+
+
+def _shows_damage(word: str) -> bool:
+    """A word that can't be right as it stands: a symbol within it, or a capital or small letter out of place."""
+    if _RESIDUE.search(word):
+        return True
+    for i, c in enumerate(word):
+        if c.isascii():
+            continue
+        before, after = word[i - 1] if i else "", next((x for x in word[i + 1 :] if x != c), "")
+        if not c.isalpha() and not unicodedata.combining(c) and before.isalpha() and after.isalpha() and (c not in _BETWEEN_LETTERS or c in "\u00be\u00bd\u00bc\u00b7\u20ac\u2014\u2026\u201d"):
+            return True
+        if c.isalpha() and _letter_case(word, i) > 0:
+            return True
+    return False
+
+
+def _justified(word: str, found: str, path: list[str], lexicon: frozenset[str]) -> bool:
+    """A change needs evidence: bytes that go round (several wrong characters are one right one), an escape, a word that
+    others write, or a word that can't be right as it stands. A letter that is only rare is none."""
+    if word_key(found) in lexicon or _shows_damage(word):
+        return True
+    return any(STEPS[name](word) != word for name in path if name.startswith("utf-8") or name == "escaped")
 
 
 _CLEAN = re.compile("[\t\n\r -~áéíóúüñÁÉÍÓÚÜÑ]*")
@@ -269,7 +319,19 @@ def restore(text: str, lexicon: frozenset[str] = frozenset()) -> str | None:
     if _CLEAN.fullmatch(text) and not _CASE_SLIP.search(text) and not _ESCAPES.search(text):
         return "" if lost_mark(text) else None
     found, path = search(text, lexicon)
-    if LOST in found or lost_mark(found) or any(char_cost(found, i) >= IMPOSSIBLE for i, c in enumerate(found) if not c.isascii() or c < " "):
+    if path:
+        words, now = re.split(r"(\s+)", text), re.split(r"(\s+)", found)
+        if len(words) == len(now):
+            sure = [w == n or _justified(w, n, path, lexicon) for w, n in zip(words, now, strict=True)]
+            # symbols that stand alone follow the words that show the damage; letters that are only rare don't
+            shown = any(ok and w != n for ok, w, n in zip(sure, words, now, strict=True))
+            kept = [n if ok or (shown and not any(c.isalpha() and not c.isascii() and c != "\u03a9" for c in w)) else w for ok, w, n in zip(sure, words, now, strict=True)]
+            found, path = "".join(kept), path if kept != words else []
+        elif not _justified(text, found, path, lexicon):
+            found, path = text, []
+    if LOST in found or lost_mark(found) or _RESIDUE.search(found):
+        return ""
+    if path and any(char_cost(found, i) >= IMPOSSIBLE for i, c in enumerate(found) if (not c.isascii() or c < " ") and c not in text):
         return ""
     return found if path else None
 
@@ -302,8 +364,7 @@ def find_damaged(df: DataFrame, table_name: str, key: str, fields: list[str]) ->
 
     One narrow pass: values that are plain ASCII without a question mark or escape are passed over on the JVM side,
     the rest goes to the search in Arrow batches. Null and empty values and an empty table give no rows; repeated
-    rows each give their own; very long values are searched whole, in at most MOST_EXPANSIONS steps; extra columns are
-    ignored. The accented words of all rows are counted first; the LEXICON_SIZE commonest help to tell readings apart.
+    rows each give their own; very long values are searched whole; extra columns are ignored. The accented words of all rows are counted first; the LEXICON_SIZE commonest help to tell readings apart.
     """
 
     def value(field: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pricelens.llm.canonical_names import map_to_list
 from pricelens.llm.encoding_repair import find_damaged
-from pricelens.llm.mixing import mix_sources, share_report
+from pricelens.llm.mixing import mix_sources, share_report, target_entropy_of
 from pricelens.llm.packing import fill_report, pack_documents
 from pricelens.llm.same_product import product_pairs
 from pricelens.llm.sentences import split_sentences
@@ -61,12 +61,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mezcla_objetivos"))
 
 
+def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture whose sources weigh their natural share to an exponent: the shares' entropy is that of the target shares."""
+    targets = table(spark, sf_dir, "mezcla_objetivos")
+    return mix_sources(table(spark, sf_dir, "documents"), targets, target_entropy=target_entropy_of(targets))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of all documents."""
     return split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_tempered": p9_tempered, "p10_found": p10_found}
 
 ORACLES = {
     "p5_found": """

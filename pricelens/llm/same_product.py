@@ -300,14 +300,13 @@ def _judged_terms(parsed: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame
     sizes = parsed.select(_cell().alias("cell")).where("cell is not null").groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     shared = in_cells.join(sizes, "cell").groupBy("term").agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("same"), F.sum(F.col("k") * (F.col("n") - 1)).alias("chances"))
     prior = parsed.groupBy(F.coalesce("item", F.lit("")).alias("item")).agg(F.count("*").alias("m"))
-    prior = prior.withColumn("p", F.col("m") / F.sum("m").over(Window.partitionBy(F.lit(1)))).select("item", "p")
+    prior = prior.withColumn("listings", F.sum("m").over(Window.partitionBy(F.lit(1)))).select("item", (F.col("m") / F.col("listings")).alias("p"), "listings")
     totals = of_item.groupBy("term").agg(F.sum("k").alias("total"))
     share = F.col("k") / F.col("total")
-    spread = of_item.join(totals, "term").join(prior, "item").groupBy("term", "total").agg((F.sum(share * F.log(share / F.col("p"))) - (F.count("*") - 1) / (2 * F.first("total"))).alias("spread"))
+    spread = of_item.join(totals, "term").join(prior, "item").groupBy("term", "total", "listings").agg((F.sum(share * F.log(share / F.col("p"))) - (F.count("*") - 1) / (2 * F.first("total"))).alias("spread"))
     by_chance = F.least(F.lit(1.0), F.col("total") / F.col("listings"))
     agreed = F.try_divide(F.col("same") - by_chance * F.col("chances"), (1 - by_chance) * F.col("chances"))
-    listings = parsed.agg(F.count("*").alias("listings"), F.lit(1).alias("one"))
-    judged = spread.join(shared, "term", "left").withColumn("one", F.lit(1)).join(listings, "one").withColumn("noise", F.coalesce(agreed < LEAST_CONSTANT, F.lit(False)))
+    judged = spread.join(shared, "term", "left").withColumn("noise", F.coalesce(agreed < LEAST_CONSTANT, F.lit(False)))
     function_words = F.col("term").isin([*STICKY, *FILLERS])
     return of_item, stage.cut(judged.select("term", "total", (F.col("noise") & (F.col("spread") < EVEN_SPREAD) & ~function_words).alias("even"), (F.col("noise") & ~function_words).alias("noise")))
 

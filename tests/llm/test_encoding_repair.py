@@ -53,3 +53,19 @@ def test_operator_on_odd_rows(spark):
     got = sorted((tuple(r) for r in find_damaged(df, "t", "id", ["name", "valor"]).collect()), key=str)
     assert got == sorted([("t", 1, "name", "Jamón"), ("t", 1, "name", "Jamón"), ("t", 1, "valor", ""), ("t", None, "valor", "Limón"), ("t", 3, "name", "ñ" * 3000)], key=str)
     assert find_damaged(spark.createDataFrame([], "id bigint, name string"), "t", "id", ["name"]).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Sm\u00f8rrebr\u00f8d", "Arroz \u2265 1 kg", "\u0152ufs", "2 \u00b5g", "\u0141oso\u015b w\u0119dzony", "\u03a0\u03af\u03c4\u03b1", "Mate \u8336 verde", "\u0412\u043e\u0434\u043a\u0430", "P\u00e3o de queijo \u2615", "Jalape\u00f1o\u2019s"])
+@pytest.mark.parametrize("lexicon", [frozenset(), frozenset({"jalape\u00f1o", "caf\u00e9", "\u00fa"})])
+def test_rare_letters_are_no_damage(text, lexicon):
+    assert restore(text, lexicon) is None
+
+
+def test_many_damaged_words_of_several_kinds():
+    """Twelve words, damaged in three ways, with no word known: the search has no cap to end by."""
+    words = ["Pl\u00e1tano", "Pi\u00f1a", "Caf\u00e9", "Az\u00facar", "Ma\u00edz", "At\u00fan", "Jam\u00f3n", "Pur\u00e9", "\u00d1oquis", "Man\u00ed", "Or\u00e9gano", "Lim\u00f3n"]
+    damage = [lambda w: w.encode().decode("cp1252", "replace"), lambda w: w.encode().decode("mac_roman"), lambda w: w.encode().decode("cp850")]
+    broken = [damage[i % 3](w) for i, w in enumerate(words)]
+    assert restore(" ".join(broken)) in (" ".join(words), "") or all("\ufffd" in b for b in broken)
+    whole = [w for w, b in zip(words, broken, strict=True) if "\ufffd" not in b]
+    assert restore(" ".join(b for b in broken if "\ufffd" not in b)) == " ".join(whole) and len(whole) >= 11

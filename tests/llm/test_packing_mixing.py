@@ -88,15 +88,35 @@ def test_long_texts_are_encoded_whole():
 def test_plan():
     target, repeats = {"a": 0.5, "b": 0.3, "c": 0.2, "none": 0.1}, {"a": 2, "b": 1, "c": 5, "none": 1}
     shares, exponent = mixing.plan_mixture({"a": 1000, "b": 9000, "c": 400}, target, repeats)
-    assert exponent == 1.0 and sum(s.budget for s in shares) <= 4000 and {s.source for s in shares} == {"a", "b", "c"}
-    total = sum(s.budget for s in shares)
-    assert all(abs(s.budget / total - target[s.source]) < 0.01 for s in shares if False) or all(abs(s.weight - target[s.source]) < 1e-9 for s in shares) or sum(s.weight for s in shares) == pytest.approx(1)
+    # the exponent is found inside 0 to MOST_EXPONENT, where the mixture has the targets
+    assert exponent == pytest.approx(1.0) and sum(s.budget for s in shares) <= 4000 and {s.source for s in shares} == {"a", "b", "c"}
+    assert all(s.weight == pytest.approx(target[s.source]) for s in shares)
     shares, exponent = mixing.plan_mixture({"a": 1000, "b": 9000, "c": 400}, target, repeats, total=8000)
     assert 0 <= exponent < 1 and all(s.budget <= s.tokens * s.max_repeats for s in shares) and sum(s.budget for s in shares) == pytest.approx(8000, abs=5)
     assert mixing.plan_mixture({}, target, repeats) == ([], 0.0)
     assert mixing.plan_mixture({"a": 10}, {"a": 1.0}, {"a": 1}, total=1000)[0][0].budget == 10
 
 
+def test_plan_of_an_entropy():
+    tokens_of, repeats = {"a": 1000, "b": 9000, "c": 400}, {"a": 3, "b": 3, "c": 3}
+    shares, exponent = mixing.plan_mixture(tokens_of, {"a": 0.4, "b": 0.4, "c": 0.2}, repeats, target_entropy=0.9)
+    weights = {s.source: s.weight for s in shares}
+    assert 0 < exponent < 1 and mixing.entropy(weights) == pytest.approx(0.9)
+    raw = {s: (n / 10_400) ** exponent for s, n in tokens_of.items()}
+    assert all(weights[s] == pytest.approx(raw[s] / sum(raw.values())) for s in raw)
+    assert all(s.budget <= s.tokens * s.max_repeats for s in shares) and any(s.budget >= 0.999 * s.tokens * s.max_repeats for s in shares)
+    # a total that this doesn't allow takes the exponent back towards the corpus
+    wider, nearer = mixing.plan_mixture(tokens_of, {"a": 0.4, "b": 0.4, "c": 0.2}, repeats, total=20_000, target_entropy=0.9)
+    assert exponent < nearer < 1 and sum(s.budget for s in wider) == pytest.approx(20_000, abs=5)
+
+
+def test_too_long_a_list_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    targets = spark.createDataFrame([(f"s{i}", 0.2, 1) for i in range(3)], "source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError):
+        mixing.mix_sources(documents(spark, 10), targets)
+
+
 def test_mixing(spark):
     docs = documents(spark, 900)
     targets = spark.createDataFrame([("s1", 0.5, 1), ("s2", 0.2, 2), ("s3", 0.3, 4), ("leer", 0.1, 1), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
