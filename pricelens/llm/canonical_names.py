@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -63,19 +64,29 @@ def letter_distance(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
-def letters(word: str) -> int:
-    """The letters of a word as bits; an edit changes at most two of them."""
-    bits = 0
-    for c in word:
-        bits |= 1 << (ord(c) & 63)
-    return bits
-
-
 def most_edits(n: int) -> int:
     """How many edits two words may differ by, the longer of which has n letters."""
     return 1 if n <= 4 else 2 if n <= 8 else 3
 
 
+#: Keys are made of so many letters at the front of a word; more edits than that two words never differ by.
+KEY_LETTERS = 7
+
+
+def cut_keys(word: str, most: int) -> set[str]:
+    """The front of a word with up to ``most`` letters left out; two words that few edits apart share one of these."""
+    keys = last = {word[:KEY_LETTERS]}
+    for _ in range(most):
+        last = {k[:i] + k[i + 1 :] for k in last for i in range(len(k))}
+        keys = keys | last
+    return keys
+
+
+def edits_to_longer(n: int) -> int:
+    """How many edits a word of n letters and one that is longer by no more may differ by."""
+    return max(d for m in range(n, n + 4) if (d := most_edits(m)) >= m - n)
+
+
 def likeness(token: str, word: str) -> float:
     """How much a typed token resembles a word of the list, 0 to 1."""
     short = token.endswith("\x01")
@@ -143,7 +154,16 @@ class Mapper:
         for i, form in enumerate(self.forms):
             for token in form.tokens:
                 self.of_token.setdefault(token, []).append(i)
-        self.letters = {t: letters(t) for t in self.weight}
+        self.words = sorted(self.weight)
+        self.near: dict[str, list[str]] = {}
+        for word in self.words:
+            for key in cut_keys(word, edits_to_longer(len(word))):
+                self.near.setdefault(key, []).append(word)
+        # by a misspelt shortening: a slip in the first four letters and more
+        self.fronts: dict[str, list[str]] = {}
+        for word in self.words:
+            for key in {k for n in range(4, KEY_LETTERS + 1) for k in cut_keys(word[:n], 1)}:
+                self.fronts.setdefault(key, []).append(word)
         self.alike: dict[str, dict[str, float]] = {}
         self.known: dict[str, int] = {}
 
@@ -152,10 +172,16 @@ class Mapper:
         if found is None:
             if len(self.alike) > 200_000:
                 self.alike.clear()
-            # words that can't be near are passed over by their letters; a shortened token may lack any number of them
+            # only words that may be alike: that share a key, that the token is the front of, or that are its singular or plural
             plain, short = token.rstrip("\x01"), token.endswith("\x01")
-            bits, n = letters(plain), len(plain)
-            near = self.weight if short else [w for w, b in self.letters.items() if (bits ^ b).bit_count() <= 2 * most_edits(max(n, len(w))) or w.startswith(plain)]
+            near = {w for key in cut_keys(plain, edits_to_longer(len(plain))) for w in self.near.get(key, ())}
+            near |= {w for w in (plain[:-1], plain[:-2], plain + "s") if w in self.weight}
+            if short:
+                near |= {w for key in cut_keys(plain, 1) for w in self.fronts.get(key, ())}
+            at = bisect_left(self.words, plain)
+            while at < len(self.words) and self.words[at].startswith(plain):
+                near.add(self.words[at])
+                at += 1
             found = {w: s for w in near if (s := likeness(token, w)) >= LEAST_LIKENESS}
             self.alike[token] = found
         return found
@@ -227,6 +253,18 @@ class Mapper:
         return ranked[0][0]
 
 
+_mappers: dict[int, Mapper] = {}
+
+
+def _mapper(entries: list[tuple[int, str | None, str | None]]) -> Mapper:
+    """The mapper of a list, made once a worker process."""
+    number = hash(tuple(entries))
+    if number not in _mappers:
+        _mappers.clear()
+        _mappers[number] = Mapper(entries)
+    return _mappers[number]
+
+
 def map_to_list(df: DataFrame, table_name: str, key: str, value: str, reference: DataFrame, entry: str, name: str, alias: str) -> DataFrame:
     """(tabla, fila_id, entry) of every value that isn't null or blank; entry is -1 if the value names none.
 
@@ -242,7 +280,7 @@ def map_to_list(df: DataFrame, table_name: str, key: str, value: str, reference:
     shared = df.sparkSession.sparkContext.broadcast(entries)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mapper = Mapper(shared.value)
+        mapper = _mapper(shared.value)
         for batch in batches:
             yield pd.DataFrame({"tabla": table_name, "fila_id": batch["k"], entry: [mapper.map(v) for v in batch["v"]]})
 

@@ -26,8 +26,10 @@ from pricelens.session import Stage, spread
 SHARD_DOCUMENTS = 3_000
 #: So many partitions at most; beyond that a partition holds several shards, one after another.
 MOST_PARTS = 20_000
-#: A seed asks with so many of its weightiest terms, and looks at so many of the best answers.
-QUERY_TERMS, MOST_NEIGHBOURS = 24, 48
+#: A seed asks with all its terms but those that more than this share of all documents has: they tell no likeness.
+COMMON = 0.5
+#: The list of containers is short; a longer one is an error.
+MOST_KINDS = 1_000
 K1, B = 1.2, 0.75
 
 
@@ -54,14 +56,14 @@ class Index:
         order = np.argsort(place, kind="stable")
         self.documents, self.weights = owner[order].astype("int32"), weight[order]
         self.starts = np.searchsorted(place[order], np.arange(len(distinct) + 1))
-        # each document's weightiest terms are what it asks with
+        rare = np.array([frequency.get(int(t), 1) <= COMMON * documents for t in distinct], dtype=bool)
+        # what each document asks with
         self.asks: list[np.ndarray] = []
         ends = np.cumsum([len(t) for t in terms])
         for i in range(self.n):
             a, b = ends[i] - len(terms[i]), ends[i]
-            own = weight[a:b]
-            best = np.argsort(-own, kind="stable")[:QUERY_TERMS]
-            self.asks.append(place[a:b][best])
+            own = place[a:b]
+            self.asks.append(own[rare[own]])
 
     def scores(self, document: int) -> np.ndarray:
         """BM25 of every document of the shard for one of them."""
@@ -118,12 +120,12 @@ def fill(index: Index, sizes: np.ndarray, capacity: int) -> list[Placed]:
             scores = index.scores(int(seed))
             scores[~unused | (rest > room)] = 0.0
             likely = np.flatnonzero(scores > 0)
-            if len(likely) > MOST_NEIGHBOURS:
-                likely = likely[np.argpartition(-scores[likely], MOST_NEIGHBOURS)[:MOST_NEIGHBOURS]]
-            for i in likely[np.lexsort((likely, -scores[likely]))]:
-                if rest[i] <= room:
-                    take(int(i), position)
-                    room, position = room - int(rest[i]), position + 1
+            likely = likely[np.lexsort((likely, -scores[likely]))]
+            while len(likely):  # the best that fits, then the best of those behind it that still fit
+                take(int(likely[0]), position)
+                room, position = room - int(rest[likely[0]]), position + 1
+                likely = likely[1:]
+                likely = likely[rest[likely] <= room]
             while room and (i := best_fit(room)) is not None:
                 take(i, position)
                 room, position = room - int(rest[i]), position + 1
@@ -142,7 +144,9 @@ def pack_documents(
     """
     spark = df.sparkSession
     stage = Stage(spark, "packing")
-    kinds = [(r[0], int(r[1])) for r in containers.select("contenedor", "capacidad_tokens").where("capacidad_tokens >= 1").orderBy("capacidad_tokens", "contenedor").limit(1_000).collect()]
+    kinds = [(r[0], int(r[1])) for r in containers.select("contenedor", "capacidad_tokens").where("capacidad_tokens >= 1").orderBy("capacidad_tokens", "contenedor").limit(MOST_KINDS + 1).collect()]
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers are listed")
     key_type = df.schema[key].dataType.simpleString()
 
     def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,7 +167,8 @@ def pack_documents(
     shared = spark.sparkContext.broadcast((frequency, n, kinds))
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The documents of a partition, which come likes by likes, SHARD_DOCUMENTS at a time."""
+        """The documents of a partition, which come likes by likes, SHARD_DOCUMENTS at a time (all of them: what is left
+        at the end of a partition is a smaller shard)."""
         waiting: list[pd.DataFrame] = []
         for b in batches:
             while len(b):
@@ -198,13 +203,16 @@ def pack_documents(
                 )
 
     parts = min(MOST_PARTS, max(1, math.ceil(n / SHARD_DOCUMENTS)))
-    dealt = documents.repartitionByRange(parts, "group", F.xxhash64("k")).sortWithinPartitions("group", F.xxhash64("k"))
+    # large groups are dealt to blocks of about a shard by the hash of the key, the same in every run
+    groups = documents.groupBy("group").agg(F.ceil(F.count("*") / SHARD_DOCUMENTS).alias("blocks"))
+    dealt = documents.join(groups, "group").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks"))).drop("blocks")
+    dealt = dealt.repartition(parts, "group", "block").sortWithinPartitions("group", "block", F.xxhash64("k"))
     return dealt.mapInPandas(pack, f"contenedor string, caja string, posicion int, `{key}` {key_type}, primer_token int, n_tokens int")
 
 
 def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """(contenedor, cajas, n_tokens, llenado): how full the containers of each kind are."""
     sums = packed.groupBy("contenedor").agg(F.count_distinct("caja").alias("cajas"), F.sum(F.col("n_tokens").cast("bigint")).alias("n_tokens"))
-    return sums.join(F.broadcast(containers.select("contenedor", "capacidad_tokens").limit(1_000)), "contenedor").select(
+    return sums.join(F.broadcast(containers.select("contenedor", "capacidad_tokens")), "contenedor").select(
         "contenedor", "cajas", "n_tokens", F.round(F.col("n_tokens") / (F.col("cajas") * F.col("capacidad_tokens")), 4).alias("llenado")
     )

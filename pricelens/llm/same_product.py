@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from pricelens.functions.quantity_text import PREFIXES, ROOTS, read_content, read_unit
 from pricelens.llm.canonical_names import letter_distance
-from pricelens.llm.encoding_repair import restore
+from pricelens.llm.encoding_repair import search
 from pricelens.operators.quantities import whole_content
 from pricelens.session import Stage
 
@@ -100,7 +100,7 @@ def repaired(name: str) -> str:
             if found is None:
                 if len(_repaired) > 200_000:
                     _repaired.clear()
-                found = _repaired[w] = restore(w) or w
+                found = _repaired[w] = search(w)[0]
             words[i] = found
     return " ".join(words)
 

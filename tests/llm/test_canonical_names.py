@@ -33,3 +33,20 @@ def test_operator_on_odd_rows(spark):
     assert got == sorted([("t", 1, 2), ("t", 1, 2), ("t", None, -1), ("t", 4, 2)], key=str)
     assert {r.e for r in map_to_list(df, "t", "id", "v", ref.limit(0), "e", "n", "a").collect()} == {-1}
     assert map_to_list(df.limit(0), "t", "id", "v", ref, "e", "n", "a").count() == 0
+
+
+def test_the_index_finds_every_word_that_is_alike():
+    import random
+
+    from pricelens.llm.canonical_names import LEAST_LIKENESS, Mapper, likeness
+
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcde") for _ in range(rng.randrange(2, 14))) for _ in range(300)})
+    mapper = Mapper([(i, w, None) for i, w in enumerate(words)])
+    for _ in range(400):
+        token = list(rng.choice(words))
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(token) + 1)
+            token[at : at + rng.randrange(0, 2)] = rng.choice(["", "a", "x", "ea"])
+        token = "".join(token) + rng.choice(["", "", "s", "\x01"])
+        assert mapper._alike(token) == {w: s for w in words if (s := likeness(token, w)) >= LEAST_LIKENESS}
