@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 
 from pricelens.session import spread
 
-#: So many documents (by the smallest hash of their text) are fitted on, over so many rounds; longer ones count whole.
+#: So many documents (by the smallest hash of their text) are fitted on, over so many rounds; documents of more than so
+#: many characters are no part of the sample, but are read like any other.
 SAMPLE_DOCUMENTS, SAMPLE_MOST_CHARS, ROUNDS = 1_500, 6_000, 4
-#: Lines of scripts without blanks that hold no punctuation and more characters than this may hold several sentences.
-RUN_ON = 48
 #: A line of this many characters may have been broken within a sentence; shorter and longer ones end where they end.
 WRAP_LEAST, WRAP_MOST = 58, 140
 
@@ -240,7 +239,7 @@ def places(text: str) -> list[Place]:
             rule = int(kind in STARTS and (bool(gap) or kind in ("upper", "open!", "quote")))
         shape = "digit" if last[-1:].isdigit() else "one" if len(last.strip(".")) == 1 else "dotted" if "." in last else "word"
         doc = "small" if small_doc else "full"
-        features = (
+        features = () if fixed else (
             f"r{rule}{doc}", f"r{rule}{mark}", f"m{mark}{kind}{doc}", f"b{brk}{mark}", f"q{quote}{kind}", f"l{last[-12:]}", f"n{next_word[:12]}{doc}",
             f"l{last[-12:]} {kind}{doc}", f"l{last[-12:]} n{next_word[:10]}", f"s{shape}{mark}{kind}", f"c{closers[-1:]}{kind}n{next_word[:8]}", f"g{bool(gap)}{mark}{sign}",
         )
@@ -264,10 +263,12 @@ class ChainModel:
         t = [[w.get("t00", 0.0), w.get("t01", 0.0)], [w.get("t10", 0.0), w.get("t11", 0.0)]]
         score, back = [0.0, -1e9], []
         for features, settled in chain:
-            emission = sum(w.get(f, 0.0) for f in features) + w.get("bias", 0.0)
             if settled is not None:
                 gains = (0.0, -1e9) if settled == 0 else (-1e9, 0.0)
             else:
+                emission = w.get("bias", 0.0)
+                for f in features:
+                    emission += w.get(f, 0.0)
                 gains = (0.0, emission)
             row, new = [0, 0], [0.0, 0.0]
             for tag in (0, 1):
@@ -313,6 +314,21 @@ class ChainModel:
         return self
 
 
+#: A whole line of Chinese, Japanese or Thai letters, figures and words in other letters, without a mark that could end
+#: a sentence in it.
+_UNMARKED = re.compile(rf"[{CJK}{THAI}\w%.\-・ー々〇]+")
+_WITHOUT_BLANKS = re.compile(f"[{CJK}{THAI}]")
+_STANDS_ALONE = re.compile("[^ัิ-ฺ็-๎]")
+
+
+def unmarked(text: str, a: int, b: int) -> bool:
+    """The unit is a line by itself, in a script without blanks and periods, and shows no mark."""
+    line = text[a:b]
+    if not _WITHOUT_BLANKS.search(line) or not _UNMARKED.fullmatch(line):
+        return False
+    return not text[text.rfind("\n", 0, a) + 1 : a].strip() and not text[b : (text.find("\n", b) + 1 or len(text) + 1) - 1].strip()
+
+
 def _run_on_chain(line: str) -> list[tuple[tuple[str, ...], int | None]]:
     """A place behind every character, with the characters around it."""
     padded = "  " + line + "  "
@@ -345,10 +361,10 @@ def cut(text: str, model: ChainModel, run_on: ChainModel | None = None) -> list[
         if a == b:
             continue
         line = text[a:b]
-        if run_on is not None and b - a > RUN_ON and re.fullmatch(f"[{CJK}0-9A-Za-z]+", line):
+        if run_on is not None and unmarked(text, a, b):
             at = a
             for i, tag in enumerate(run_on.decode(_run_on_chain(line)), 1):
-                if tag and a + i - at >= 2:
+                if tag and a + i - at >= 2 and b - a - i >= 2 and _STANDS_ALONE.match(line[i]):
                     out.append((at, a + i))
                     at = a + i
             out.append((at, b))
@@ -359,7 +375,8 @@ def cut(text: str, model: ChainModel, run_on: ChainModel | None = None) -> list[
 
 def train(texts: list[str]) -> tuple[ChainModel, ChainModel]:
     """The model of punctuated text and that of run-on text, from raw documents."""
-    chains, stripped = [], []
+    chains: list = []
+    stripped: dict[bool, list[str]] = {False: [], True: []}
     rng = random.Random(11)
     for text in texts:
         here = places(text)
@@ -376,23 +393,25 @@ def train(texts: list[str]) -> tuple[ChainModel, ChainModel]:
             ends = {p.end for p in here if p.rule}
             small = places(lowered)
             chains.append(([(p.features, p.rule if p.fixed else None) for p in small], [p.rule if p.fixed else int(p.end in ends) for p in small]))
-        if re.search(f"[{CJK}]{{4}}", text):
-            start = 0
-            for p in here:
-                if p.rule:
-                    sentence = re.sub(rf"[^{CJK}0-9A-Za-z]", "", text[start : p.end])
-                    start = p.next
-                    if len(sentence) > 1:
-                        stripped.append(sentence)
+        start = 0
+        for p in here:
+            if p.rule:
+                sentence = re.sub(rf"[^{CJK}{THAI}\w%]", "", text[start : p.end])
+                start = p.next
+                if len(sentence) > 1 and _WITHOUT_BLANKS.search(sentence):
+                    stripped[bool(re.search(f"[{THAI}]", sentence))].append(sentence)
     model = ChainModel(dict(PRIOR)).fit(chains)
     joined = []
-    rng.shuffle(stripped)
-    for i in range(0, len(stripped) - 2, 3):
-        parts = stripped[i : i + 3]
-        line = "".join(parts)
-        ends = {len(parts[0]), len(parts[0]) + len(parts[1])}
-        joined.append((_run_on_chain(line), [int(k in ends) for k in range(1, len(line))]))
-    return model, ChainModel().fit(joined[:1500], rounds=3)
+    for script in stripped.values():
+        rng.shuffle(script)
+        at = 0
+        while at < len(script):  # one, two or three sentences of one script without what parted them
+            parts = script[at : at + rng.choice((1, 1, 2, 3))]
+            at += len(parts)
+            ends = {sum(map(len, parts[:k])) for k in range(1, len(parts))}
+            line = "".join(parts)
+            joined.append((_run_on_chain(line), [int(k in ends) for k in range(1, len(line))]))
+    return model, ChainModel().fit(joined, rounds=3)
 
 
 def sample_texts(df: DataFrame, text: str, documents: int = SAMPLE_DOCUMENTS) -> list[str]:
