@@ -136,3 +136,15 @@ def strip_residue(text: Column, residues: Sequence[str]) -> Column:
     for r in residues:
         text = F.regexp_replace(text, rf"(?i)\Q{r}\E", " ")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def name_patterns(cleaned: Column, stop_words: Sequence[str] = SEARCH_STOP_WORDS, least: int = 4, most: int = 4) -> Column:
+    """The words that stand for a list entry: the first few long ones of its cleaned name, else the whole name."""
+    kept = F.filter(F.split(cleaned, " "), lambda w: (F.length(w) >= least) & ~w.isin(list(stop_words)))
+    return F.when(F.size(kept) > 0, F.slice(kept, 1, most)).otherwise(F.array(cleaned))
+
+
+def has_strong_token(cleaned: Column, tokens: Column, least: int = 3) -> Column:
+    """One of the tokens of so many letters and more is a word of the text; true where there is no such token."""
+    strong = F.filter(tokens, lambda t: F.length(t) >= least)
+    return (F.size(strong) == 0) | F.exists(strong, lambda t: F.contains(F.concat(F.lit(" "), cleaned, F.lit(" ")), F.concat(F.lit(" "), t, F.lit(" "))))

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pricelens.functions.numbers import price_dot_thousands
+
 # Spellings of the units and their factor to g, ml or pieces.
-FAMILIES = {"mass": ["kg", "g", "gr"], "volume": ["l", "lt", "ml", "cc"], "unit": ["un", "u", "und", "unid", "unidad"]}
-FACTORS = {"kg": 1000.0, "l": 1000.0, "lt": 1000.0, "g": 1.0, "gr": 1.0, "ml": 1.0, "cc": 1.0, "un": 1.0, "u": 1.0, "und": 1.0, "unid": 1.0, "unidad": 1.0}
-LONG_NAMES = {"kilogramos": "kg", "kilogramo": "kg", "kilos": "kg", "kilo": "kg", "gramos": "g", "gramo": "g", "litros": "l", "litro": "l", "mililitros": "ml", "unidades": "un", "unidad": "un"}
-BUCKETS = [50, 100, 250, 500, 1000, 2000]
+FAMILIES = {"mass": ["kg", "g", "gr"], "volume": ["l", "lt", "ml", "cc"], "unit": ["un", "unidad", "unidades"]}
+FACTORS = {"kg": 1000.0, "l": 1000.0, "lt": 1000.0, "g": 1.0, "gr": 1.0, "ml": 1.0, "cc": 1.0, "un": 1.0, "unidad": 1.0, "unidades": 1.0}
+# Further spellings that texts use.
+LONG_NAMES = {"kilo": "kg", "kilos": "kg", "gramo": "g", "gramos": "g", "lts": "lt", "litro": "l", "litros": "l"}
+# Upper ends of the size buckets, and the name of what lies beyond.
+BUCKETS, BEYOND = [50, 100, 250, 500, 1000, 2000], "2000_plus"
 
 
 def _plain(unit: Column) -> Column:
@@ -40,7 +44,7 @@ def size_bucket(size: Column) -> Column:
     for high in BUCKETS:
         found = found.when(size <= high, F.lit(f"{low}_{high}"))
         low = high + 1
-    return found.otherwise(F.lit(f"{BUCKETS[-1] + 1}_plus"))
+    return found.otherwise(F.lit(BEYOND))
 
 
 def similar_size(a: Column, b: Column, tolerance: float = 0.08) -> Column:
@@ -54,18 +58,55 @@ def _lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def size_in_text(cleaned: Column, last: bool = False) -> Column:
-    """struct(size, family) of the first (or last) amount with a unit in a cleaned text that kept dots and commas."""
-    spellings = "|".join(sorted([*LONG_NAMES, "kg", "gr", "g", "ml", "cc", "lt", "l", "un"], key=len, reverse=True))
-    found = F.regexp_extract_all(cleaned, F.lit(rf"(\d+(?:[.,]\d+)?)\s*({spellings})\b"), 0)
-    one = F.try_element_at(found, F.lit(-1 if last else 1))
-    amount = F.replace(F.regexp_extract(one, r"^(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit(".")).try_cast("double")
-    written = F.regexp_extract(one, r"([a-z]+)$", 1)
+def _size(amount: Column, written: Column) -> Column:
+    """struct(size, family) of an amount and the unit written behind it; nulls where either is missing."""
     unit = F.coalesce(_lookup(LONG_NAMES, written), written)
-    times = F.regexp_extract(cleaned, r"\bx\s*(\d+)\b", 1).try_cast("double")
-    size = F.coalesce(amount * _lookup(FACTORS, unit), times)
     family = _lookup({s: f for f, spellings in FAMILIES.items() for s in spellings}, unit)
-    return F.struct(size.alias("size"), F.coalesce(family, F.when(times.isNotNull(), F.lit("unit"))).alias("family"))
+    size = amount * _lookup(FACTORS, unit)
+    return F.struct(size.alias("size"), F.when(size.isNotNull(), family).alias("family"))
+
+
+def size_in_text(cleaned: Column) -> Column:
+    """struct(size, family) of the last amount with a unit in a cleaned text that kept dots and commas (both decimal marks)."""
+    spellings = "|".join(sorted([*LONG_NAMES, *FACTORS], key=len, reverse=True))
+    found = F.regexp_extract_all(cleaned, F.lit(rf"(\d+(?:[.,]\d+)?)\s*({spellings})\b"), 0)
+    last = F.try_element_at(found, F.lit(-1))
+    amount = F.replace(F.regexp_extract(last, r"^(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit(".")).try_cast("double")
+    return _size(amount, F.regexp_extract(last, r"([a-z]+)$", 1))
+
+
+def size_by_pattern(cleaned: Column, parity: bool = False) -> Column:
+    """struct(size, family) of the first amount with a unit of mass or volume, else of pieces, else of "x 6".
+
+    With ``parity`` a lone dot in the amount parts thousands, as for prices.
+    """
+    measured, counted, times = r"(\d+(?:[.,]\d+)?)\s*(kg|gr|g|lt|l|ml|cc)\b", r"\b(\d+)\s*(unidades|unidad|un)\b", r"\bx\s*(\d+)\b"
+
+    def number(text: Column) -> Column:
+        return price_dot_thousands(text, parity=True) if parity else F.nullif(F.replace(text, F.lit(","), F.lit(".")), F.lit("")).try_cast("double")
+
+    pieces = F.regexp_extract(cleaned, times, 1)
+    return (
+        F.when(cleaned.rlike(measured), _size(number(F.regexp_extract(cleaned, measured, 1)), F.regexp_extract(cleaned, measured, 2)))
+        .when(cleaned.rlike(counted), _size(number(F.regexp_extract(cleaned, counted, 1)), F.lit("un")))
+        .otherwise(_size(number(pieces), F.lit("un")))
+    )
+
+
+def family_or_named(unit: Column, cleaned_name: Column, parity: bool = False) -> Column:
+    """The family of a row's unit, else that of the amount in its name."""
+    return F.coalesce(unit_family(unit), size_by_pattern(cleaned_name, parity)["family"])
+
+
+def size_or_named(content: Column, unit: Column, cleaned_name: Column, parity: bool = False) -> Column:
+    """The content in the row's unit where both are known, else the amount in its name."""
+    return F.coalesce(to_standard(price_dot_thousands(content, parity), unit), size_by_pattern(cleaned_name, parity)["size"])
+
+
+def content_or_named(content: Column, unit: Column, cleaned_name: Column) -> Column:
+    """struct(size, family): content and unit of the row, or both out of its name where they tell no size."""
+    size = to_standard(F.replace(content, F.lit(","), F.lit(".")).try_cast("double"), unit)
+    return F.when(size.isNotNull(), F.struct(size.alias("size"), unit_family(unit).alias("family"))).otherwise(size_in_text(cleaned_name))
 
 
 def price_per_unit(price: Column, size: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,3 +65,24 @@ def complete_totals(options: DataFrame, item: str, market: str, price: str, item
     sums = options.where(F.col(price).isNotNull()).groupBy(market).agg(F.sum(price).alias("total"), F.count_distinct(item).alias("encontrados"))
     least = sums.where(F.col("encontrados") == items).agg(F.min("total")).first()[0]
     return sums.withColumn("completo", F.col("encontrados") == items).withColumn("mas_barato", F.coalesce(F.col("completo") & (F.col("total") == F.lit(least).cast("double")), F.lit(False)))
+
+
+def cart_summary(best: DataFrame, item: str, market: str, price: str, score: str, tie: str, markets: Sequence[str], name: str = "name", brand: str = "brand", url: str = "detail_url") -> DataFrame:
+    """The cart's lines in 17 columns: the cheapest and the dearest market of each item, what lies between, every market's price.
+
+    ``best`` has an item's best offer of each market. Higher scores win among equal prices, then ``tie``. One aggregate,
+    no join; items and markets that are null count as none; a market that isn't listed can win but has no column.
+    """
+    known = best.where(F.col(item).isNotNull() & F.col(market).isNotNull() & F.col(price).isNotNull())
+    row = F.struct(F.col(market).alias("m"), F.col(name).alias("n"), F.col(brand).alias("b"), F.col(url).alias("u"), F.col(price).alias("p"))
+    second = (F.coalesce(-F.col(score), F.lit(float("inf"))).alias("s"), F.col(tie).alias("t"))
+    low, high = F.min_by(row, F.struct(F.col(price).alias("p"), *second)), F.min_by(row, F.struct((-F.col(price)).alias("p"), *second))
+    lines = known.groupBy(item).agg(
+        low.alias("l"), high.alias("h"), F.count_distinct(market).alias("supermercados_encontrados"), *[F.min(F.when(F.col(market) == m, F.col(price))).alias(f"precio_{m}") for m in markets]
+    )
+    saved = F.col("h.p") - F.col("l.p")
+    return lines.select(
+        F.col(item).alias("producto_buscado"), "supermercados_encontrados", F.col("l.m").alias("supermercado_mas_conveniente"), F.col("l.n").alias("producto_mas_conveniente"), F.col("l.b").alias("marca_mas_conveniente"), F.col("l.p").alias("precio_mas_bajo"),
+        F.col("h.m").alias("supermercado_mas_caro"), F.col("h.n").alias("producto_mas_caro"), F.col("h.b").alias("marca_mas_caro"), F.col("h.p").alias("precio_mas_alto"), saved.alias("ahorro_abs"), percent(saved, F.col("h.p")).alias("ahorro_pct_vs_mas_caro"),
+        *[f"precio_{m}" for m in markets], F.col("l.u").alias("url_mas_conveniente"), F.col("h.u").alias("url_mas_caro"),
+    )

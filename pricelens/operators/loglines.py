@@ -1,8 +1,9 @@
 """Log texts of several programs into entries with time, level, component and message.
 
-Each line has a shape signature: runs of letters become ``a``, runs of digits ``9``, runs of blanks one blank; the rest
-stays. The signature's head tells the layout, so every distinct signature is resolved to a layout once, the table from
-signature to layout goes to the workers, and a line's own text is only read by the one layout that its signature names.
+Each line has a shape signature, made of the whole line: runs of letters become ``a``, runs of digits ``9``, runs of
+blanks one blank, three words and more one word; the rest stays. It tells the layouts that the line can have, so every distinct
+signature is resolved to its layouts once, the table from signature to layouts goes to the workers, and a line's own text
+is only read by the layouts that its signature names, the likeliest first (nearly always there is but one).
 A signature without layout is a continuation and is attached to the entry above.
 """
 
@@ -21,8 +22,6 @@ from pyspark.sql import functions as F
 
 from pricelens.session import spread
 
-#: Length of the signature's head: every header but that of JSON lines is over by then.
-HEAD = 40
 #: So many signatures are resolved on the driver and broadcast; the workers resolve any rarer one in the same way.
 MOST_BROADCAST = 20_000
 
@@ -187,14 +186,12 @@ LAYOUTS = [
     Layout("[level] (name) text", re.compile(r"\[a\] \("), _by_regex(rf"\[(?P<l>[A-Za-z]+)\] +\((?P<c>[^)\s]+)\) ?{_MESSAGE}", lambda g, _y: ("", _level(g["l"])))),
     Layout("count|level|name|text", re.compile(r"9\|a\|"), _by_regex(rf"(?P<n>\d{{9,19}})\|(?P<l>[A-Za-z]+)\|(?P<c>[^|\s]+)\|{_MESSAGE}", lambda g, _y: (_epoch(g["n"]), _level(g["l"])))),
 ]
-CONTINUATION = -1
-
-_LETTERS, _DIGITS, _BLANKS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"\s+")
+_LETTERS, _DIGITS, _BLANKS, _WORDS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"\s+"), re.compile(r"(?<![^ ])a(?: a){2,}")
 
 
 def signature(line: str) -> str:
-    """The head of a line's shape signature; colour codes don't count."""
-    return _BLANKS.sub(" ", _DIGITS.sub("9", _LETTERS.sub("a", _ANSI.sub("", line))))[:HEAD]
+    """A line's shape signature; colour codes don't count."""
+    return _WORDS.sub("a", _BLANKS.sub(" ", _DIGITS.sub("9", _LETTERS.sub("a", _ANSI.sub("", line)))))
 
 
 def signature_column(line):
@@ -202,12 +199,12 @@ def signature_column(line):
     line = F.regexp_replace(line, ANSI, "")
     line = F.regexp_replace(line, r"\p{L}+", "a")
     line = F.regexp_replace(line, r"\p{Nd}+", "9")
-    return F.substring(F.regexp_replace(line, r"(?U)\s+", " "), 1, HEAD)
+    return F.regexp_replace(F.regexp_replace(line, r"(?U)\s+", " "), "(?<![^ ])a(?: a){2,}", "a")
 
 
-def resolve(shape: str) -> int:
-    """The number of the layout that a signature belongs to, or CONTINUATION."""
-    return next((i for i, layout in enumerate(LAYOUTS) if layout.shape.match(shape)), CONTINUATION)
+def resolve(shape: str) -> tuple[int, ...]:
+    """The numbers of the layouts that a signature may belong to; none for a continuation."""
+    return tuple(i for i, layout in enumerate(LAYOUTS) if layout.shape.match(shape))
 
 
 class Found(NamedTuple):
@@ -218,7 +215,7 @@ class Found(NamedTuple):
     message: str
 
 
-def entries(text: str, year: int | None, rules: dict[str, int]) -> Iterator[Found]:
+def entries(text: str, year: int | None, rules: dict[str, tuple[int, ...]]) -> Iterator[Found]:
     """The entries of one log text. ``rules`` gets the signatures that it lacks."""
     lines = _ANSI.sub("", text).split("\n")
     opened: tuple[int, Entry] | None = None
@@ -232,7 +229,10 @@ def entries(text: str, year: int | None, rules: dict[str, int]) -> Iterator[Foun
             rule = rules.get(shape)
             if rule is None:
                 rule = rules[shape] = resolve(shape)
-            entry = LAYOUTS[rule].read(line.rstrip("\r"), year) if rule != CONTINUATION else None
+            for number in rule:
+                entry = LAYOUTS[number].read(line.rstrip("\r"), year)
+                if entry is not None:
+                    break
             if entry is None:
                 last = i
                 continue

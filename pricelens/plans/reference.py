@@ -327,12 +327,12 @@ _FAMILY = "CASE WHEN unit IN ('kg', 'g') THEN 'mass' WHEN unit IN ('l', 'ml', 'c
 
 
 @query(f"""WITH @offers, s AS (SELECT *, {_STD} AS size_std, {_FAMILY} AS unit_family FROM offers) SELECT idx, size_std, unit_family,
-  CASE WHEN size_std <= 50 THEN '0_50' WHEN size_std <= 100 THEN '51_100' WHEN size_std <= 250 THEN '101_250' WHEN size_std <= 500 THEN '251_500' WHEN size_std <= 1000 THEN '501_1000' WHEN size_std <= 2000 THEN '1001_2000' ELSE '2001_plus' END AS bucket,
+  CASE WHEN size_std <= 50 THEN '0_50' WHEN size_std <= 100 THEN '51_100' WHEN size_std <= 250 THEN '101_250' WHEN size_std <= 500 THEN '251_500' WHEN size_std <= 1000 THEN '501_1000' WHEN size_std <= 2000 THEN '1001_2000' ELSE '2000_plus' END AS bucket,
   price / size_std AS precio_unidad, list_price AS precio_efectivo, size_std AS size_en_texto FROM s""")
 def u1_units(spark, sf_dir):
     """Family, size in common units, bucket, unit price; the size read out of the name is the same."""
     o = sized(offers(spark, sf_dir))
-    found = units.size_in_text(text.clean_text(F.col("name"), keep=".,"), last=True)
+    found = units.size_in_text(text.clean_text(F.col("name"), keep=".,"))
     return o.select("idx", "size_std", "unit_family", units.size_bucket(F.col("size_std")).alias("bucket"), units.price_per_unit(F.col("price"), F.col("size_std")).alias("precio_unidad"),
                     units.effective_price(F.col("list_price"), F.col("price")).alias("precio_efectivo"), found["size"].alias("size_en_texto"))
 
@@ -448,13 +448,20 @@ def j1_match_edges(spark, sf_dir):
     return matching.match_offers(prepared(spark, sf_dir))
 
 
-@query()
+_EDGES = """reach(x, y) AS (SELECT a, b FROM arcs UNION SELECT r.x, c.b FROM reach r JOIN arcs c ON c.a = r.y),
+  comp AS (SELECT x AS idx, least(x, min(y)) AS component FROM reach GROUP BY x)"""
+_COMPONENTS = f"WITH RECURSIVE {_PREP}, arcs(a, b) AS (SELECT idx_1, idx_2 FROM edges UNION SELECT idx_2, idx_1 FROM edges), {_EDGES}"
+
+
+@query(f"{_COMPONENTS} SELECT idx, component FROM comp")
 def g1_components(spark, sf_dir):
     """Components of the match graph."""
     return matching.components(matching.match_offers(prepared(spark, sf_dir)))
 
 
-@query()
+@query(f"""{_COMPONENTS}, gr AS (SELECT o.*, dense_rank() OVER (ORDER BY component) AS group_id FROM s o JOIN comp ON comp.idx = o.idx)
+  SELECT group_id, first(name ORDER BY price, idx) AS producto_referencia, first(brand ORDER BY price, idx) AS marca_referencia, first(supermarket ORDER BY price, idx) AS supermercado_mas_barato, min(price) AS precio_mas_barato,
+  count(*) AS cantidad_opciones_comparadas, string_agg(DISTINCT supermarket, ', ' ORDER BY supermarket) AS supermercados_presentes FROM gr WHERE price IS NOT NULL GROUP BY group_id HAVING count(DISTINCT supermarket) > 1""")
 def a10_group_prices(spark, sf_dir):
     """Price comparison of the groups of matching offers (G2, G3, W4)."""
     p = prepared(spark, sf_dir)
@@ -493,3 +500,79 @@ def proj5_standard_relation(spark, sf_dir):
     rows = listings(spark, sf_dir).withColumnRenamed("last_category", "subcat_name").drop("category_std")
     standard = to_schema(rows, PRODUCT, RENAMES["jumbo"])
     return standard.groupBy("supermarket").agg(*[F.count("*").alias("n")], *[F.count(c).alias(a) for c, a in (("name", "con_nombre"), ("last_category", "con_categoria"), ("category_std", "con_estandar"), ("price", "con_precio"))])
+
+
+# carts and winners
+
+
+_LINES = f"""lines AS (SELECT cba_name, supermarket, name, brand, detail_url, price_num, premium_score AS score, listing_id FROM {LISTINGS} WHERE cba_name IS NOT NULL AND supermarket IS NOT NULL AND price_num IS NOT NULL AND NOT isnan(price_num)
+  QUALIFY row_number() OVER (PARTITION BY cba_name, supermarket ORDER BY price_num, listing_id) = 1),
+  low AS (SELECT *, coalesce(nullif(score, 'NaN'::DOUBLE), '-inf'::DOUBLE) AS q FROM lines)"""
+
+
+@query(f"""WITH {_LINES}, l AS (SELECT * FROM low QUALIFY row_number() OVER (PARTITION BY cba_name ORDER BY price_num, q DESC, listing_id) = 1), h AS (SELECT * FROM low QUALIFY row_number() OVER (PARTITION BY cba_name ORDER BY price_num DESC, q DESC, listing_id) = 1),
+  c AS (SELECT cba_name, count(DISTINCT supermarket) AS n, min(price_num) FILTER (WHERE supermarket = 'jumbo') AS j, min(price_num) FILTER (WHERE supermarket = 'lider') AS i, min(price_num) FILTER (WHERE supermarket = 'unimarc') AS u FROM low GROUP BY cba_name)
+  SELECT l.cba_name AS producto_buscado, c.n AS supermercados_encontrados, l.supermarket AS supermercado_mas_conveniente, l.name AS producto_mas_conveniente, l.brand AS marca_mas_conveniente, l.price_num AS precio_mas_bajo, h.supermarket AS supermercado_mas_caro,
+  h.name AS producto_mas_caro, h.brand AS marca_mas_caro, h.price_num AS precio_mas_alto, h.price_num - l.price_num AS ahorro_abs, CASE WHEN h.price_num > 0 THEN round_even((h.price_num - l.price_num) / h.price_num * 100, 2) END AS ahorro_pct_vs_mas_caro,
+  c.j AS precio_jumbo, c.i AS precio_lider, c.u AS precio_unimarc, l.detail_url AS url_mas_conveniente, h.detail_url AS url_mas_caro FROM l JOIN h ON l.cba_name = h.cba_name JOIN c ON c.cba_name = l.cba_name""")
+def j5_cart_summary(spark, sf_dir):
+    """Winner, dearest market and every chain's price of each item, in the cart summary's 17 columns."""
+    rows = listings(spark, sf_dir).where("price_num is not null and not isnan(price_num)").withColumn("score", F.nanvl("premium_score", F.lit(None).cast("double")))
+    rows = rows.select("cba_name", "supermarket", "name", "brand", "detail_url", "price_num", "score", "listing_id")
+    best_of_market = basket.best_offers(rows, "cba_name", "supermarket", "price_num", "listing_id")
+    return basket.cart_summary(best_of_market, "cba_name", "supermarket", "price_num", "score", "listing_id", MARKETS)
+
+
+@query(f"""SELECT cba_name, supermarket, listing_id, premium_score, price_num FROM {LISTINGS} WHERE cba_name IS NOT NULL AND premium_score IS NOT NULL AND NOT isnan(premium_score)
+  QUALIFY row_number() OVER (PARTITION BY cba_name ORDER BY premium_score DESC, price_num ASC NULLS LAST, listing_id) = 1""")
+def o3_premium_winner(spark, sf_dir):
+    """The listing of each item with the highest score; the price only tells equal scores apart."""
+    rows = listings(spark, sf_dir).where("premium_score is not null and not isnan(premium_score)").select("cba_name", "supermarket", "listing_id", "premium_score", "price_num")
+    return ranking.coherent_rows(rows, ["cba_name"], [("premium_score", True), ("price_num", False), ("listing_id", False)])
+
+
+@query(f"""SELECT cba_name, supermarket, listing_id, price_num FROM {LISTINGS} WHERE cba_name IS NOT NULL AND price_num IS NOT NULL AND NOT isnan(price_num)
+  QUALIFY row_number() OVER (PARTITION BY cba_name ORDER BY price_num DESC, coalesce(nullif(premium_score, 'NaN'::DOUBLE), '-inf'::DOUBLE) DESC, listing_id) = 1""")
+def o4_dearest_offer(spark, sf_dir):
+    """The dearest listing of each item, the better score first among equal prices."""
+    rows = listings(spark, sf_dir).where("price_num is not null and not isnan(price_num)").withColumn("q", F.nanvl("premium_score", F.lit(None).cast("double")))
+    return ranking.coherent_rows(rows.select("cba_name", "supermarket", "listing_id", "price_num", "q"), ["cba_name"], [("price_num", True), ("q", True), ("listing_id", False)]).drop("q")
+
+
+# Odd inputs, and what the rules make of them.
+_ODD_SIZES = [
+    ("Pack 6 un 1,5 L", 1500.0, "volume", 1500.0, "volume"), ("Harina 1 kilo", 1000.0, "mass", None, None), ("Pan", None, None, None, None), ("Leche 1 L", 1000.0, "volume", 1000.0, "volume"), ("Pan x 6", None, None, 6.0, "unit"),
+    ("Agua 2 lts", 2000.0, "volume", None, None), ("Huevos 12 unidades", 12.0, "unit", 12.0, "unit"), ("500 g y 2 kg", 2000.0, "mass", 500.0, "mass"), ("Bebida 350ml x 6", 350.0, "volume", 350.0, "volume"), ("", None, None, None, None), (None, None, None, None, None),
+    ("Té 20un 40 gr", 40.0, "mass", 40.0, "mass"), ("1.5 l", 1500.0, "volume", 1500.0, "volume"), ("3 unid", None, None, None, None), ("2 kgs", None, None, None, None),
+]
+
+
+def _literal(x) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"CAST({x} AS DOUBLE)"
+
+
+_ODD_SQL = ", ".join(f"({i}, {', '.join(map(_literal, row[1:]))})" for i, row in enumerate(_ODD_SIZES))
+
+
+@query(f"SELECT CAST(n AS BIGINT) AS n, CAST(a AS DOUBLE) AS ultimo, CAST(b AS VARCHAR) AS ultimo_familia, CAST(c AS DOUBLE) AS primero, CAST(d AS VARCHAR) AS primero_familia FROM (VALUES {_ODD_SQL}) v(n, a, b, c, d)")
+def u4_sizes_in_text(spark, sf_dir):
+    """Sizes in odd texts by both rules: the last amount with a unit, and the first that a pattern finds."""
+    given = spark.createDataFrame([(i, row[0]) for i, row in enumerate(_ODD_SIZES)], "n bigint, name string")
+    cleaned = text.clean_text(F.col("name"), keep=".,")
+    last, first = units.size_in_text(cleaned), units.size_by_pattern(cleaned)
+    return given.select("n", last["size"].alias("ultimo"), last["family"].alias("ultimo_familia"), first["size"].alias("primero"), first["family"].alias("primero_familia"))
+
+
+@query(f"""WITH u AS (SELECT listing_id, lower(trim(unit)) AS u, size_std AS v FROM {LISTINGS}) SELECT listing_id, CASE WHEN u IN ('kg', 'g', 'gr') THEN 'mass' WHEN u IN ('l', 'lt', 'ml', 'cc') THEN 'volume' WHEN u IN ('un', 'unidad', 'unidades') THEN 'unit' END AS familia,
+  CASE WHEN u IN ('kg', 'l', 'lt') THEN v * 1000 WHEN u IN ('g', 'gr', 'ml', 'cc', 'un', 'unidad', 'unidades') THEN v END AS std FROM u""")
+def u2_listing_units(spark, sf_dir):
+    """Family and size in common units of every listing by the fixed spellings, dirt and all."""
+    unit = F.col("unit")
+    return listings(spark, sf_dir).select("listing_id", units.unit_family(unit).alias("familia"), units.to_standard(F.col("size_std"), unit).alias("std"))
+
+
+@query(r"""WITH c AS (SELECT cba_item_id, trim(regexp_replace(regexp_replace(strip_accents(lower(cba_name)), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM cba_items),
+  w AS (SELECT *, list_filter(str_split(x, ' '), lambda y: length(y) >= 4 AND y NOT IN ('de', 'del', 'la', 'las', 'el', 'los', 'y')) AS ws FROM c) SELECT cba_item_id, CASE WHEN len(ws) > 0 THEN array_to_string(ws[1:4], '|') ELSE x END AS palabras FROM w""")
+def f3_name_patterns(spark, sf_dir):
+    """The words that stand for each item of the basket list."""
+    return table(spark, sf_dir, "cba_items").select("cba_item_id", F.array_join(text.name_patterns(text.clean_text(F.col("cba_name"))), "|").alias("palabras"))

@@ -73,9 +73,12 @@ def consolidate_market(spark: SparkSession, glob: str, market: str, by_time: boo
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """(item) of every line of a text file that is neither blank nor a comment."""
+    """(item) of every line of a text file that is neither blank nor a comment; a list without items is an error."""
     lines = spark.read.text(path).select(F.trim("value").alias("item"))
-    return lines.where((F.col("item") != "") & ~F.startswith(F.col("item"), F.lit("#")))
+    items = lines.where((F.col("item") != "") & ~F.startswith(F.col("item"), F.lit("#")))
+    if items.isEmpty():
+        raise ValueError(f"{path} lists nothing")
+    return items
 
 
 ROW = re.compile(r"^(?P<name>.+?)\s+(?P<unit>G|CC|UN)\s+(?P<qty>[\d.,]+)\s+(?P<cal>[\d.,]+)\s+(?P<value>[\d.,]+)$")

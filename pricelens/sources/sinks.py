@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,9 @@ def catalogue(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     for key, path in tables.items():
         try:
             rows.append((key, True, path, spark.read.parquet(path).count()))
-        except Exception:  # noqa: BLE001 - whatever the file system says, the table isn't there
+        except AnalysisException as e:  # no such path, or no table in it; any other error is one
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             rows.append((key, False, path, None))
     return spark.createDataFrame(rows, "clave string, existe boolean, ruta string, filas bigint")
 

@@ -41,11 +41,25 @@ def test_sizes(spark):
         return one(spark, units.similar_size(F.lit(a).cast("double"), F.lit(b).cast("double")))
 
     assert sim(1000, 920) and not sim(1000, 919) and sim(None, 5) and not sim(0, 5)
-    assert [one(spark, units.size_bucket(F.lit(x))) for x in (50.0, 50.1, 2001.0, 0.0)] == ["0_50", "51_100", "2001_plus", None]
-    assert one(spark, units.size_in_text(F.lit("pack 6 un 1,5 l"), last=True)).asDict() == {"size": 1500.0, "family": "volume"}
+    assert [one(spark, units.size_bucket(F.lit(x))) for x in (50.0, 50.1, 2001.0, 0.0)] == ["0_50", "51_100", "2000_plus", None]
+    assert one(spark, units.size_in_text(F.lit("pack 6 un 1,5 l"))).asDict() == {"size": 1500.0, "family": "volume"}
     assert one(spark, units.size_in_text(F.lit("harina 1 kilo"))).asDict() == {"size": 1000.0, "family": "mass"}
     assert one(spark, units.size_in_text(F.lit("pan"))).asDict() == {"size": None, "family": None}
-    assert one(spark, units.size_in_text(F.lit("galletas x 6"))).asDict() == {"size": 6.0, "family": "unit"}
+    assert one(spark, units.size_in_text(F.lit("pan x 6"))).asDict() == {"size": None, "family": None}
+    assert one(spark, units.size_by_pattern(F.lit("galletas x 6"))).asDict() == {"size": 6.0, "family": "unit"}
+    assert one(spark, units.size_by_pattern(F.lit("pack 6 un 1,5 l"))).asDict() == {"size": 1500.0, "family": "volume"}
+    assert one(spark, units.family_or_named(F.lit("pote"), F.lit("te 20 un"))) == "unit"
+    assert one(spark, units.size_or_named(F.lit("1,5"), F.lit("KG"), F.lit("x 6"))) == 1500.0
+    assert one(spark, units.size_or_named(F.lit(None).cast("string"), F.lit("kg"), F.lit("x 6"))) == 6.0
+    assert one(spark, units.content_or_named(F.lit("x"), F.lit("kg"), F.lit("2 lts"))).asDict() == {"size": 2000.0, "family": "volume"}
+
+
+def test_patterns(spark):
+    assert one(spark, text.name_patterns(F.lit("aceite de maravilla y palta con sal"))) == ["aceite", "maravilla", "palta"]
+    assert one(spark, text.name_patterns(F.lit("te"))) == ["te"]
+    assert one(spark, text.has_strong_token(F.lit("te verde"), F.array(F.lit("te"), F.lit("verde")))) is True
+    assert one(spark, text.has_strong_token(F.lit("te negro"), F.array(F.lit("te"), F.lit("verde")))) is False
+    assert one(spark, text.has_strong_token(F.lit("mate"), F.array(F.lit("te")))) is True
     assert one(spark, units.item_cost(F.lit(2.0), F.lit(0.0), F.lit(990.0))) == 990.0
     assert one(spark, units.comparable_price(F.lit(100.0), F.lit(200.0), F.lit(500.0))) == 250.0
 
