@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from json.decoder import scanstring
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -67,14 +68,76 @@ def _no_constant(name: str):
     raise ValueError(name)
 
 
+_SCALAR = re.compile(r"(-?(?:0|[1-9]\d*))(\.\d+)?([eE][+-]?\d+)?|true|false|null")
+_BLANK = re.compile(r"[ \t\n\r]*")
+_LITERALS = {"true": True, "false": False, "null": None}
+
+
+def read_deep(text: str):
+    """The value of a JSON text, read with a stack, so that no depth is too much. ValueError for anything else."""
+    open_values: list = []
+    keys: list[str] = []
+    root: list = []
+    at, wanted = 0, "value"
+
+    def put(x) -> None:
+        holder = open_values[-1] if open_values else root
+        if isinstance(holder, dict):
+            holder[keys.pop()] = x
+        else:
+            holder.append(x)
+
+    while True:
+        at = _BLANK.match(text, at).end()
+        c = text[at : at + 1]
+        if wanted == "more" and not open_values:
+            if c:
+                raise ValueError("more than one value")
+            return root[0]
+        if not c:
+            raise ValueError("cut off")
+        closing = open_values and c == ("}" if isinstance(open_values[-1], dict) else "]")
+        if closing and wanted in ("more", "first key", "first value"):
+            open_values.pop()
+            at, wanted = at + 1, "more"
+        elif wanted == "more":
+            if c != ",":
+                raise ValueError(c)
+            at, wanted = at + 1, "key" if isinstance(open_values[-1], dict) else "value"
+        elif wanted in ("key", "first key"):
+            if c != '"':
+                raise ValueError(c)
+            key, at = scanstring(text, at + 1)
+            at = _BLANK.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError("no value")
+            keys.append(key)
+            at, wanted = at + 1, "value"
+        elif c in "{[":
+            new: dict | list = {} if c == "{" else []
+            put(new)
+            open_values.append(new)
+            at, wanted = at + 1, "first key" if c == "{" else "first value"
+        elif c == '"':
+            string, at = scanstring(text, at + 1)
+            put(string)
+            wanted = "more"
+        else:
+            m = _SCALAR.match(text, at)
+            if not m:
+                raise ValueError(c)
+            put(_LITERALS[m[0]] if m[1] is None else float(m[0]) if m[2] or m[3] else int(m[0]))
+            at, wanted = m.end(), "more"
+
+
 def read_json(text: str | None):
     """The value of a text that is one whole JSON value; ValueError for anything else."""
     if not text:
         raise ValueError("empty")
     try:
         return json.loads(text.lstrip("\ufeff"), parse_constant=_no_constant)
-    except RecursionError as e:
-        raise ValueError("too deep") from e
+    except RecursionError:
+        return read_deep(text.lstrip("\ufeff"))
 
 
 def _embedded(value):

@@ -52,3 +52,21 @@ def test_operator_and_join_agree(spark):
     for parent, child in (("product", "item"), ("product", "category"), ("item", "promotion")):
         assert {tuple(r)[1:] for r in link_by_containment(nodes, parent, child).collect()} == {r for r in ROWS if r[0] == child}
     assert flatten_nested(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_any_depth_is_read():
+    import json
+
+    from pricelens.operators.nested import label_nodes, link_nodes, read_deep, read_json
+    from pricelens.sources.payloads import products_in
+
+    for text in ('{"a": [1, -2.5e3, "x\\u00e9", true, null, {}, []], "b": {"c": []}}', "[]", '"x"', " 7 "):
+        assert read_deep(text) == json.loads(text)
+    for text in ("", "[1,]", "{", '{"a"}', "[1] 2", '{"a":1,}', "nul", "[1 2]"):
+        with pytest.raises(ValueError):
+            read_deep(text)
+    inner = '{"productId": "p1", "items": [{"skuId": "s1", "price": 990}]}'
+    deep = '{"x": [' * 20_000 + inner + "]}" * 20_000
+    rows = link_nodes(label_nodes(read_json(deep)))
+    assert ("product", "", "p1", -1) in rows and ("item", "p1", "s1", 990) in rows
+    assert products_in(read_json('[{"sku": "1", "name": "a", "x": ' + deep + '}, {"sku": "2", "name": "b", "price": 5}]'))[1][0] == "2"
