@@ -523,14 +523,19 @@ def _meetings(contexts: DataFrame, sizes: DataFrame, stage: Stage) -> tuple[Data
     return met, stage.cut(beside.union(_rewritten(sizes, beside.withColumn("difference", _difference("w1", "w2")))).distinct())
 
 
-def _graph(contexts: DataFrame, met: DataFrame, candidates: DataFrame, sizes: DataFrame, rarity: DataFrame, stage: Stage) -> Graph:
-    """The graph of the candidates (kind, w1, w2), which hold all pairs that meet."""
+def _paired(candidates: DataFrame, sizes: DataFrame, rarity: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """The pairs of a graph out of candidates (kind, w1, w2), and what they share of terms."""
     a, b = sizes.select("kind", F.col("wording").alias("w1"), F.col("n").alias("n1")), sizes.select("kind", F.col("wording").alias("w2"), F.col("n").alias("n2"))
     pairs = candidates.join(a, ["kind", "w1"]).join(b, ["kind", "w2"])
     pairs = stage.cut(pairs.select(F.xxhash64("kind", "w1", "w2").alias("pair"), "kind", "w1", "w2", "n1", "n2", _difference("w1", "w2").alias("difference")))
     x, y = F.split("w1", " "), F.split("w2", " ")
     terms = pairs.select("pair", "kind", F.explode(F.array_union(x, y)).alias("term"), F.array_intersect(x, y).alias("common")).join(rarity, ["kind", "term"])
-    terms = terms.select("pair", F.xxhash64("term").alias("node"), F.array_contains("common", F.col("term")).alias("shared"), F.col("rarity").alias("mass"), F.lit(0.0).alias("met"), F.lit(0.0).alias("cells"))
+    return pairs, terms.select("pair", F.xxhash64("term").alias("node"), F.array_contains("common", F.col("term")).alias("shared"), F.col("rarity").alias("mass"), F.lit(0.0).alias("met"), F.lit(0.0).alias("cells"))
+
+
+def _graph(contexts: DataFrame, met: DataFrame, candidates: DataFrame, sizes: DataFrame, rarity: DataFrame, stage: Stage) -> Graph:
+    """The graph of the candidates (kind, w1, w2), which hold all pairs that meet."""
+    pairs, terms = _paired(candidates, sizes, rarity, stage)
     cells = met.select("pair", "node", F.lit(True).alias("shared"), F.lit(0.0).alias("mass"), F.col("ab").alias("met"), F.col("cells").cast("double").alias("cells"))
     shares = stage.cut(terms.union(cells))
     stays = stage.cut(contexts.select("kind", "wording", "node", (F.col("cells") * F.col("a") * (F.col("a") - 1) / (F.col("n") - 1)).alias("twos"), (F.col("cells") * F.col("a")).cast("double").alias("all")))
@@ -615,8 +620,11 @@ def _linked(worded: DataFrame, sizes: DataFrame, stage: Stage) -> DataFrame:
     by_term = rarity.select("term").distinct().select("term", F.xxhash64("term").alias("node")).join(weights.select("node", "weight"), "node").select("term", "weight")
     missed = stage.cut(_over_threshold(sizes, rarity, by_term).join(candidates, ["kind", "w1", "w2"], "left_anti"))
     if not missed.isEmpty():
-        graph = _graph(contexts, met, candidates.union(missed), sizes, rarity, stage)
-        weights = graph.nodes.join(weights.select("node", "weight"), "node", "left").fillna(1.0, ["weight"])
+        pairs, terms = _paired(missed, sizes, rarity, stage)  # they meet nowhere, else they were candidates
+        terms = stage.cut(terms)
+        graph = graph._replace(pairs=graph.pairs.union(pairs), shares=graph.shares.union(terms))
+        fresh = terms.select("node").distinct().join(weights, "node", "left_anti").withColumn("weight", F.lit(1.0))
+        weights = weights.select("node", "weight").union(fresh)
     return stage.cut(_scores(graph, weights))
 
 
