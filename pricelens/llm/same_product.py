@@ -52,6 +52,8 @@ LEAST_RARITY = 0.02
 #: How many listings' worth the score of the words is when it meets the evidence of the cells.
 PRIOR_LISTINGS = 3.0
 THRESHOLD, LEAST_CHANGE, STEP = 0.6, 0.01, 1.0
+#: A round over up to so many pairs and nodes is done in one task, over more in many.
+MOST_IN_ONE_PART = 100_000
 #: Trees of up to so many wordings go to the listings by broadcast, more by a join.
 MOST_BROADCAST_WORDINGS = 100_000
 
@@ -496,10 +498,21 @@ class Graph(NamedTuple):
     shares: DataFrame  # pair, node, shared, mass, met, cells: a term with its rarity; or cells, and how many listings of the one wording meet the other there
     stays: DataFrame  # kind, wording, node, twos, all: in these cells, listings that meet one of their own wording, and all
     nodes: DataFrame  # node, own: in such a cell, listings that meet one of their own wording
-    small: bool  # pairs and nodes are few enough to be sent to all workers
+    small: bool  # so few pairs and nodes that a round is one task's work, without exchanges
+
+    def held(self, df: DataFrame) -> DataFrame:
+        """A table of the graph in one part, if it is small; else as it comes."""
+        return _in_one_part(df) if self.small else df
 
     def sent(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.small else df
+        """A table to be joined with one of the graph's; in one part both, neither moves."""
+        return df.hint("shuffle_hash") if self.small else df
+
+
+def _in_one_part(df: DataFrame) -> DataFrame:
+    one = df.coalesce(1)
+    one._stage_path = getattr(df, "_stage_path", None)
+    return one
 
 
 def _contexts(worded: DataFrame, kinds: DataFrame, stage: Stage) -> DataFrame:
@@ -541,7 +554,8 @@ def _graph(contexts: DataFrame, met: DataFrame, candidates: DataFrame, sizes: Da
     stays = stage.cut(contexts.select("kind", "wording", "node", (F.col("cells") * F.col("a") * (F.col("a") - 1) / (F.col("n") - 1)).alias("twos"), (F.col("cells") * F.col("a")).cast("double").alias("all")))
     own = contexts.groupBy("node").agg(F.sum(F.col("a") * (F.col("a") - 1) / (F.col("n") - 1)).alias("own"))
     nodes = stage.cut(shares.select("node").distinct().join(own, "node", "full").fillna(0.0, ["own"]))
-    return Graph(pairs, shares, stays, nodes, max(pairs.count(), nodes.count()) <= MOST_BROADCAST_WORDINGS)
+    small = max(pairs.count(), nodes.count()) <= MOST_IN_ONE_PART
+    return Graph(*[_in_one_part(t) if small else t for t in (pairs, shares, stays, nodes)], small)
 
 
 def _scores(graph: Graph, weights: DataFrame) -> DataFrame:
@@ -591,13 +605,13 @@ def _weights(graph: Graph, scores: DataFrame, old: DataFrame) -> DataFrame:
 
 def _settled(graph: Graph, stage: Stage) -> tuple[DataFrame, int]:
     """The weights after these have settled, and the rounds it took."""
-    weights, rounds = stage.cut(graph.nodes.withColumn("weight", F.lit(1.0))), 0
+    weights, rounds = graph.held(stage.cut(graph.nodes.withColumn("weight", F.lit(1.0)))), 0
     while True:
         rounds += 1
-        scores, seen = stage.cut(_scores(graph, weights).select("pair", "score")), Observation()
+        scores, seen = graph.held(stage.cut(_scores(graph, weights).select("pair", "score"))), Observation()
         fresh = stage.cut(_weights(graph, scores, weights).observe(seen, F.max("change").alias("change")))
         stage.drop(weights, scores)
-        weights, change = fresh, seen.get["change"]
+        weights, change = graph.held(fresh), seen.get["change"]
         if change is None or change < LEAST_CHANGE:
             return weights, rounds
 
@@ -622,9 +636,9 @@ def _linked(worded: DataFrame, sizes: DataFrame, stage: Stage) -> DataFrame:
     if not missed.isEmpty():
         pairs, terms = _paired(missed, sizes, rarity, stage)  # they meet nowhere, else they were candidates
         terms = stage.cut(terms)
-        graph = graph._replace(pairs=graph.pairs.union(pairs), shares=graph.shares.union(terms))
+        graph = graph._replace(pairs=graph.held(graph.pairs.union(pairs)), shares=graph.held(graph.shares.union(terms)))
         fresh = terms.select("node").distinct().join(weights, "node", "left_anti").withColumn("weight", F.lit(1.0))
-        weights = weights.select("node", "weight").union(fresh)
+        weights = graph.held(weights.select("node", "weight").union(fresh))
     return stage.cut(_scores(graph, weights))
 
 
