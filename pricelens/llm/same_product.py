@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import pandas as pd
@@ -506,7 +507,22 @@ class Graph(NamedTuple):
 
     def sent(self, df: DataFrame) -> DataFrame:
         """A table to be joined with one of the graph's; in one part both, neither moves."""
-        return df.hint("shuffle_hash") if self.small else df
+        return df.coalesce(1).hint("shuffle_hash") if self.small else df
+
+
+@contextmanager
+def _rounds_of(graph: Graph) -> Iterator[None]:
+    """While the rounds over a small graph run, plans know one part only and are made once."""
+    wanted = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false"} if graph.small else {}
+    conf = graph.pairs.sparkSession.conf
+    before = {k: conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def _in_one_part(df: DataFrame) -> DataFrame:
@@ -570,11 +586,12 @@ def _scores(graph: Graph, weights: DataFrame) -> DataFrame:
     weight = weights.select("node", "weight")
     mass = F.col("weight") * F.col("mass")
     by_words = F.coalesce(F.try_divide(F.sum(F.when(F.col("shared"), mass).otherwise(0.0)), F.sum(mass)), F.lit(0.0))
-    shares = graph.shares.join(graph.sent(weight), "node").groupBy("pair").agg(by_words.alias("words"), F.sum(F.col("cells") * F.col("weight") * F.col("met")).alias("met"))
-    stays = graph.stays.join(graph.sent(weight), "node").groupBy("kind", "wording").agg(F.sum(F.col("weight") * F.col("twos")).alias("stay"), F.sum(F.col("weight") * F.col("all")).alias("all"))
+    shares = graph.held(graph.shares.join(graph.sent(weight), "node")).groupBy("pair").agg(by_words.alias("words"), F.sum(F.col("cells") * F.col("weight") * F.col("met")).alias("met"))
+    stays = graph.held(graph.stays.join(graph.sent(weight), "node")).groupBy("kind", "wording").agg(F.sum(F.col("weight") * F.col("twos")).alias("stay"), F.sum(F.col("weight") * F.col("all")).alias("all"))
     stays = stays.withColumn("part", F.col("all") / F.sum("all").over(Window.partitionBy("kind")))
     one, two = stays.toDF("kind", "w1", "stay1", "all1", "part1"), stays.toDF("kind", "w2", "stay2", "all2", "part2")
-    known = graph.pairs.join(graph.sent(shares), "pair").join(graph.sent(one), ["kind", "w1"], "left").join(graph.sent(two), ["kind", "w2"], "left")
+    known = graph.held(graph.pairs.join(graph.sent(shares), "pair"))
+    known = graph.held(graph.held(known.join(graph.sent(one), ["kind", "w1"], "left")).join(graph.sent(two), ["kind", "w2"], "left"))
     first = F.col("n1") >= F.col("n2")
     alike = F.when(first, F.try_divide(F.col("all2") * F.col("stay1"), F.col("all1"))).otherwise(F.try_divide(F.col("all1") * F.col("stay2"), F.col("all2")))
     chance = F.when(first, F.col("all2") * F.col("part1")).otherwise(F.col("all1") * F.col("part2"))
@@ -586,6 +603,7 @@ def _scores(graph: Graph, weights: DataFrame) -> DataFrame:
     def share(gain: Column, worth: Column, prior: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (gain + PRIOR_LISTINGS * prior) / (worth + PRIOR_LISTINGS)))
 
+    told = graph.held(told)
     usual = told.groupBy("difference").agg(share(F.sum("gain"), F.sum("worth"), F.avg("words")).alias("usual"))
     return told.join(graph.sent(usual), "difference").withColumn("score", share(F.col("gain"), F.col("worth"), F.col("usual")))
 
@@ -597,7 +615,7 @@ def _weights(graph: Graph, scores: DataFrame, old: DataFrame) -> DataFrame:
     is_cell = F.col("cells") > 0
     good = F.when(is_cell, 2 * F.col("met") * F.col("score")).when(F.col("shared"), F.col("score")).otherwise(0.0)
     whole = F.when(is_cell, 2 * F.col("met")).when(F.col("shared"), 1.0).otherwise(F.col("score"))
-    sums = graph.shares.join(graph.sent(scores), "pair").groupBy("node").agg(F.sum(good).alias("good"), F.sum(whole).alias("whole"))
+    sums = graph.held(graph.shares.join(graph.sent(scores), "pair")).groupBy("node").agg(F.sum(good).alias("good"), F.sum(whole).alias("whole"))
     fresh = F.greatest(F.coalesce(F.try_divide(F.coalesce("good", F.lit(0.0)) + F.col("own"), F.coalesce("whole", F.lit(0.0)) + F.col("own")), F.lit(0.0)), F.lit(0.01))
     known = old.join(graph.sent(sums), "node", "left").withColumn("fresh", fresh)
     return known.select("node", "own", (F.col("weight") + STEP * (F.col("fresh") - F.col("weight"))).alias("weight"), F.abs(F.col("fresh") - F.col("weight")).alias("change"))
@@ -605,15 +623,16 @@ def _weights(graph: Graph, scores: DataFrame, old: DataFrame) -> DataFrame:
 
 def _settled(graph: Graph, stage: Stage) -> tuple[DataFrame, int]:
     """The weights after these have settled, and the rounds it took."""
-    weights, rounds = graph.held(stage.cut(graph.nodes.withColumn("weight", F.lit(1.0)))), 0
-    while True:
-        rounds += 1
-        scores, seen = graph.held(stage.cut(_scores(graph, weights).select("pair", "score"))), Observation()
-        fresh = stage.cut(_weights(graph, scores, weights).observe(seen, F.max("change").alias("change")))
-        stage.drop(weights, scores)
-        weights, change = graph.held(fresh), seen.get["change"]
-        if change is None or change < LEAST_CHANGE:
-            return weights, rounds
+    with _rounds_of(graph):
+        weights, rounds = graph.held(stage.cut(graph.nodes.withColumn("weight", F.lit(1.0)))), 0
+        while True:
+            rounds += 1
+            scores, seen = graph.held(stage.cut(_scores(graph, weights).select("pair", "score"))), Observation()
+            fresh = stage.cut(_weights(graph, scores, weights).observe(seen, F.max("change").alias("change")))
+            stage.drop(weights, scores)
+            weights, change = graph.held(fresh), seen.get["change"]
+            if change is None or change < LEAST_CHANGE:
+                return weights, rounds
 
 
 def _rarity(sizes: DataFrame, stage: Stage) -> DataFrame:
@@ -639,7 +658,8 @@ def _linked(worded: DataFrame, sizes: DataFrame, stage: Stage) -> DataFrame:
         graph = graph._replace(pairs=graph.held(graph.pairs.union(pairs)), shares=graph.held(graph.shares.union(terms)))
         fresh = terms.select("node").distinct().join(weights, "node", "left_anti").withColumn("weight", F.lit(1.0))
         weights = graph.held(weights.select("node", "weight").union(fresh))
-    return stage.cut(_scores(graph, weights))
+    with _rounds_of(graph):
+        return stage.cut(_scores(graph, weights))
 
 
 def _trees(scored: DataFrame, stage: Stage) -> DataFrame:
