@@ -302,12 +302,12 @@ def c8_signatures(spark, sf_dir):
 
 
 @query(f"""SELECT listing_id, regexp_replace(regexp_replace(trim(detail_url), '[?#].*$', ''), '/+$', '') AS url, split_part(regexp_replace(regexp_replace(trim(detail_url), '[?#].*$', ''), '/+$', ''), '/', -1) AS ultimo,
-  regexp_extract(detail_url, '/p/([0-9]+)', 1) AS id FROM {LISTINGS} WHERE detail_url IS NOT NULL AND regexp_matches(detail_url, '/p/[0-9]+')""")
+  coalesce(nullif(regexp_extract(detail_url, '/p/(\\d+)', 1), ''), nullif(regexp_extract(detail_url, '[?&]sku=(\\w+)', 1), ''), nullif(regexp_extract(detail_url, '/(\\d{{5,}})(?:[/?#]|$)', 1), ''), nullif(regexp_extract(detail_url, '-(\\d{{5,}})(?:[/?#]|$)', 1), ''), 'hash_' || substr(md5(detail_url), 1, 16)) AS id
+  FROM {LISTINGS} WHERE detail_url IS NOT NULL""")
 def c11_addresses(spark, sf_dir):
-    """Normal address, its last part and the article number in it."""
+    """Normal address, its last part and the article number in it, by any of the patterns, or a hash."""
     url = F.col("detail_url")
-    rows = listings(spark, sf_dir).where(url.rlike("/p/[0-9]+"))
-    return rows.select("listing_id", text.normal_url(url).alias("url"), text.last_path_part(url).alias("ultimo"), text.stable_id(url).alias("id"))
+    return listings(spark, sf_dir).where(url.isNotNull()).select("listing_id", text.normal_url(url).alias("url"), text.last_path_part(url).alias("ultimo"), text.stable_id(url).alias("id"))
 
 
 @query("""SELECT o_orderkey, CAST(printf('%.2f', o_totalprice) AS DOUBLE) AS punto_decimal, CASE WHEN printf('%.2f', o_totalprice) LIKE '%.00' THEN o_totalprice ELSE CAST(replace(printf('%.2f', o_totalprice), '.', '') AS DOUBLE) END AS punto_miles, CAST(replace(printf('%.2f', o_totalprice), '.', '') AS BIGINT) AS digitos,
