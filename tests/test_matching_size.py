@@ -1,10 +1,14 @@
 """Many offers of few wordings: work between them follows the wordings, not the pairs of offers."""
 
+import random
+
 import pytest
 
+from pricelens.operators import matching
 from pricelens.plans import reference
 
 PARTS = 1200
+NAMES = ["pan de molde blanco", "pan de molde integral", "pan de molde blanco grande", "pan de molde integral grande", "leche entera", "leche descremada", "", None]
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +40,22 @@ def test_group_prices(spark, repeated):
     got = [tuple(r) for r in reference.a10_group_prices(spark, repeated).orderBy("group_id").collect()]
     assert got == [(1, "red bolt Brand#12 20 l", "Brand#12", "a", 100.0, PARTS, "a, b"), (2, "red bolt Brand#12 40 l", "Brand#12", "a", 101.0, PARTS, "a, b")]
     assert shuffled(spark) - before < 3e6
+
+
+def test_components(spark, repeated):
+    before = shuffled(spark)
+    got = reference.g1_components(spark, repeated).groupBy("component").count().collect()
+    assert sorted((r["component"], r["count"]) for r in got) == [(0, PARTS), (10, PARTS)]
+    assert shuffled(spark) - before < 3e6
+
+
+def test_components_of_cells_are_those_of_the_edges(spark):
+    rng = random.Random(11)
+    word = lambda *w: rng.choice(w)
+    rows = [(i, word("a", "b", "c", None), word(*NAMES), word("x", "x y", "", None), word("c", None), "mass", word(None, 0.0, 100.0, 104.0, 120.0), 5.0) for i in range(400)]
+    rows.append((None, "a", NAMES[0], "x", "c", "mass", 100.0, 5.0))
+    df = spark.createDataFrame(rows, "idx int, supermarket string, name string, brand string, category_std string, unit_family string, size_std double, price double")
+    prepared = matching.prepare(df)
+    wanted = sorted(map(tuple, matching.components(matching.match_offers(prepared)).collect()))
+    assert len({c for _, c in wanted}) > 2 and wanted == sorted(map(tuple, matching.match_components(prepared).collect()))
+    assert matching.match_components(matching.prepare(df.limit(0))).count() == 0
