@@ -59,3 +59,13 @@ def test_components_of_cells_are_those_of_the_edges(spark):
     wanted = sorted(map(tuple, matching.components(matching.match_offers(prepared)).collect()))
     assert len({c for _, c in wanted}) > 2 and wanted == sorted(map(tuple, matching.match_components(prepared).collect()))
     assert matching.match_components(matching.prepare(df.limit(0))).count() == 0
+
+
+def test_match_edges(spark, repeated):
+    before = shuffled(spark)
+    edges = reference.j1_match_edges(spark, repeated)
+    got = edges.groupBy("supermarket_1", "supermarket_2").agg({"idx_1": "min", "idx_2": "max", "final_score": "min", "*": "count"}).collect()
+    assert sum(r["count(1)"] for r in got) == 2 * (PARTS // 2) ** 2 and {r["min(final_score)"] for r in got} == {1.0}
+    assert {(r["supermarket_1"], r["supermarket_2"]) for r in got} == {("a", "b"), ("b", "a")}
+    assert shuffled(spark) - before < 3e6
+    assert edges.where("idx_1 >= idx_2").count() == 0 and edges.select("idx_1", "idx_2").distinct().count() == 2 * (PARTS // 2) ** 2
