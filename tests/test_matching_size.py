@@ -69,3 +69,26 @@ def test_match_edges(spark, repeated):
     assert {(r["supermarket_1"], r["supermarket_2"]) for r in got} == {("a", "b"), ("b", "a")}
     assert shuffled(spark) - before < 3e6
     assert edges.where("idx_1 >= idx_2").count() == 0 and edges.select("idx_1", "idx_2").distinct().count() == 2 * (PARTS // 2) ** 2
+
+
+def test_match_edges_of_many_wordings(spark):
+    """200 wordings of five offers each in five markets: pairs of wordings move, not pairs of their markets."""
+    rows = [(i * 10 + m, str(m), "pan de molde blanco " + ("chico", "grande")[i % 2], "x", "c", "mass", 101.0 + i / 100, 5.0) for i in range(200) for m in range(5)]
+    df = spark.createDataFrame(rows, "idx bigint, supermarket string, name string, brand string, category_std string, unit_family string, size_std double, price double")
+    before = shuffled(spark)
+    edges = matching.match_offers(matching.prepare(df))
+    got = edges.select("idx_1", "idx_2", "supermarket_1", "supermarket_2").collect()
+    used = shuffled(spark) - before
+    assert {tuple(r) for r in got} == {(a[0], b[0], a[1], b[1]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and a[2] == b[2]}
+    assert len(got) == 200_000 and used < 3e6, used
+
+
+def test_match_edges_in_runs(spark, monkeypatch):
+    """Runs of two ids, and second wordings that are too much for a task: the same edges."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["a", "b", "c", None]), rng.choice(NAMES), "x", "c", "mass", 100.0, 5.0) for i in range(200)]
+    df = matching.prepare(spark.createDataFrame([*rows, (None, "a", NAMES[0], "x", "c", "mass", 100.0, 5.0)], "idx int, supermarket string, name string, brand string, category_std string, unit_family string, size_std double, price double"))
+    wanted = sorted(map(tuple, matching.match_offers(df).collect()))
+    monkeypatch.setattr(matching, "RUN", 2)
+    monkeypatch.setattr(matching, "PAIRS_IN_PART", 50)
+    assert wanted and wanted == sorted(map(tuple, matching.match_offers(df).collect()))
