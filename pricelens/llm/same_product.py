@@ -23,6 +23,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -67,13 +68,15 @@ JOINED = ("en", "sin", "con")
 _WORD = re.compile(r"[a-z]+|\d+(?:[.,]\d+)*(?:pct)?")
 _UNITS = {p + r + s for r in ROOTS for p in PREFIXES for s in ("", "s", "es")} | {"k", "kilo", "kilos", "fl", "liq"}
 _AMOUNT = set("pack medio media cuarto cuartos un dos tres cuatro cinco seis docena docenas".split())
+_TELLING = _UNITS | _AMOUNT | {"numero", "x"}  # words that may belong to an amount; all others stand for themselves
 _LOST = re.compile("(?<=[a-z])[?\ufffd](?=[a-z])|(?<=[a-z])[?\ufffd]\\B")
 _WITHOUT, _WITH = re.compile(r"\bs/\s?"), re.compile(r"\bc/\s?")
-_PERCENT, _NUMBER, _FIRST = re.compile(r"(\d)\s?%"), re.compile(r"\bn[°º.]?\s?(?=\d)|n°\s?"), re.compile(r"(\d)\s?[ªa]\b")
+_PERCENT, _NUMBER, _FIRST = re.compile(r"(\d)\s?%"), re.compile(r"n(?:(?<=\bn)[°º.]?\s?(?=\d)|°\s?)"), re.compile(r"(\d)\s?[ªa]\b")
 _INITIALS, _TIMES, _AND_A_HALF = re.compile(r"\b([a-z])\.\s?([a-z])\."), re.compile(r"(\d)\s?x\s?(?=\d|medi|cuarto|un\b)"), re.compile(r"\b(?:un )?(?:kilo|litro) y medio\b")
 _GLUED = re.compile(r"(\d)([a-z]+)\b")
 
-_PLAIN = {c: unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xC0, 0x180) if unicodedata.decomposition(chr(c))}
+_PLAIN = {chr(c): unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xC0, 0x180) if unicodedata.decomposition(chr(c))}
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
 
 
 def fold(text: str) -> str:
@@ -81,7 +84,7 @@ def fold(text: str) -> str:
     text = text.casefold()
     if text.isascii():
         return text
-    text = text.translate(_PLAIN)
+    text = _BEYOND_ASCII.sub(lambda m: _PLAIN.get(m[0], m[0]), text)
     if text.isascii():
         return text
     text = unicodedata.normalize("NFKD", text)
@@ -127,12 +130,19 @@ def words_of(name: str) -> tuple[list[str], list[str]]:
         text = _INITIALS.sub(r"\1\2 ", text)
     if " y medio" in text:
         text = _AND_A_HALF.sub(" ", text)
-    text = _TIMES.sub(r"\1 x ", text)
-    tokens = _WORD.findall(_GLUED.sub(lambda m: m[0] if m[2] == "pct" else f"{m[1]} {m[2]}", text))
+    if "x" in text:
+        text = _TIMES.sub(r"\1 x ", text)
+    if "pct" in text:  # else figures and letters part anyway
+        text = _GLUED.sub(lambda m: m[0] if m[2] == "pct" else f"{m[1]} {m[2]}", text)
+    tokens = _WORD.findall(text)
     words, amount = [], []
     i, n = 0, len(tokens)
     while i < n:
         t = tokens[i]
+        if t.isalpha() and t not in _TELLING:
+            words.append(t)
+            i += 1
+            continue
         nxt = tokens[i + 1] if i + 1 < n else ""
         if t == "numero" and nxt[:1].isdigit():
             words.append("n" + nxt)
@@ -182,8 +192,9 @@ _STICK = rf"\b({'|'.join(JOINED)}) (\S+)"
 _RUN_TOGETHER = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _brand_words(brand: str | None) -> list[str]:
-    return [w for w in re.findall(r"[a-z]+", fold(_RUN_TOGETHER.sub(" ", brand or ""))) if w not in BRAND_TITLES]
+@lru_cache(maxsize=100_000)
+def _brand_words(brand: str | None) -> str:
+    return " ".join(w for w in re.findall(r"[a-z]+", fold(_RUN_TOGETHER.sub(" ", brand or ""))) if w not in BRAND_TITLES)
 
 
 class Lexicon(NamedTuple):
@@ -264,7 +275,7 @@ def _parse(df: DataFrame, stage: Stage) -> DataFrame:
                 name = name or ""
                 got = whole_content(text, unit, size, family)
                 words_out.append(" ".join(words_of(name)[0]))
-                brand_out.append(" ".join(_brand_words(brand)))
+                brand_out.append(_brand_words(brand))
                 content_out.append(f"{got.dimension}:{got.quantity}" if got else content_in_name(repaired(name), family))
             yield pd.DataFrame({"listing_id": b["listing_id"], "item": b["cba_name"], "words": words_out, "brand_words": brand_out, "content": content_out})
 

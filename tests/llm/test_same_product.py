@@ -1,5 +1,6 @@
 import itertools
 import random
+import sys
 import zlib
 
 import pytest
@@ -130,3 +131,28 @@ def test_reinforcement_settles_and_tells_varieties_from_spellings(spark):
     assert score["int", "integral"] > THRESHOLD and score["org", "organico"] > THRESHOLD
     assert score["int", "org"] < 0.2 and score["blanco", "integral"] < 0.2
     assert rounds > 1 and weights.where(f"change >= {LEAST_CHANGE}").count() == 0
+
+
+def test_plain_words_cost_little():
+    """A word that tells no amount takes few steps, whatever else the name holds."""
+
+    def steps(name):
+        count = 0
+
+        def trace(frame, event, _):
+            nonlocal count
+            if frame.f_code is not words_of.__code__:
+                return None
+            count += event == "line"
+            return trace
+
+        before = sys.gettrace()
+        sys.settrace(trace)
+        try:
+            words_of(name)
+        finally:
+            sys.settrace(before)
+        return count
+
+    assert steps("arroz " * 101) - steps("arroz") <= 700
+    assert words_of("Café Nº 5 Moliéndo 2x500gr 3pctx 4% n 7 Ñandú") == (["cafe", "no", "moliendo", "pctx", "4pct", "n7", "nandu"], ["5", "2", "x", "500", "gr", "3"])
